@@ -6,6 +6,7 @@ would hide an exchange from adaptive skew handling, and they are read back with
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -15,6 +16,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of one Arrow batch, so that long rows do not fill a Python worker.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions that name none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,6 +65,9 @@ def partitions(spark: SparkSession) -> int:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, whatever their Python path is."""
     context = spark.sparkContext
+    for key, value in ARROW_BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if getattr(context, "_helixframe_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -72,5 +80,5 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(base, name)
                     z.write(full, os.path.relpath(full, root))
     context.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file from there
     context._helixframe_shipped = True
