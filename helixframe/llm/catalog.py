@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, licenses, mixing, pages
+from helixframe.llm import bpe, chat, licenses, mixing, pages, tokenfile
+from helixframe.llm.arrow import add_columns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +38,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        pieces = bpe.read_ranks(f.read())
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, pieces, public_tokenizers.PATTERN).drop("text")
+    decoded = bpe.decode(encoded, pieces)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, files = tokenfile.write_tokens(docs, model, end_id=2)
+    read = tokenfile.read_tokens(spark, folder, files)
+    return add_columns(read, "n_tokens long, ids_crc32 long", _crc32, read.columns.index("ids")).drop("ids")
+
+
+def _crc32(column: int):
+    def run(batch: pa.RecordBatch) -> list:
+        lists = batch.column(column)
+        flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+        spans = list(zip(offsets[:-1], offsets[1:]))
+        return [[int(b - a) for a, b in spans], [zlib.crc32(flat[a:b].tobytes()) for a, b in spans]]
+
+    return run
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -46,7 +83,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_mixing": op4_mixing,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_html_extract": op6_html_extract,
+    "op7_token_files": op7_token_files,
     "op8_license_scan": op8_license_scan,
 }
 
