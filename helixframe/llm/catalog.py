@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, licenses, mixing, pages, tokenfile
+from helixframe.llm import bpe, chat, licenses, mixing, pages, tokenfile, toxicity
 from helixframe.llm.arrow import add_columns
 
 
@@ -80,6 +80,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_mixing": op4_mixing,
@@ -87,6 +93,7 @@ QUERIES = {
     "op6_html_extract": op6_html_extract,
     "op7_token_files": op7_token_files,
     "op8_license_scan": op8_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 _CONVERSATIONS = """
