@@ -172,8 +172,8 @@ def score(root: Node) -> list[Node]:
     return nodes
 
 
-def blocks(kept: list[tuple[Node, bool]]) -> list[str]:
-    """Texts of the blocks of kept nodes, in page order."""
+def blocks(kept: list[Node | str]) -> list[str]:
+    """Texts of the blocks of kept nodes and texts, in page order."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -183,7 +183,7 @@ def blocks(kept: list[tuple[Node, bool]]) -> list[str]:
             out.append(joined)
         parts.clear()
 
-    todo: list = [x for x, _ in reversed(kept)]
+    todo: list = [*reversed(kept)]
     while todo:
         x = todo.pop()
         if x is None:
@@ -216,26 +216,20 @@ def main_text(source: str | None) -> str:
         node = node.parent
     article = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
     if article is not None:
-        return "\n".join(blocks([(article, True)]))
+        return "\n".join(blocks([article]))
     least = min(n.density for n in path)
     on_path = set(map(id, path))
     kept: list = []
-
-    def walk(n: Node) -> None:
-        if n is core:
-            kept.append((n, True))
-            return
-        for x in n.items:
-            if isinstance(x, str):
-                kept.append((x, True))
-            elif id(x) in on_path:
-                kept.append(("\n", True))
-                walk(x)
-                kept.append(("\n", True))
-            elif x.density >= least or x.tag in HEADINGS or x.tag not in BLOCKS:
-                kept.append((x, True))
-
-    walk(root)
+    todo: list = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x is core:
+            kept.append(x)
+        elif id(x) in on_path:
+            inner = x.items if x is root else ["\n", *x.items, "\n"]
+            todo.extend(reversed(inner))
+        elif x.density >= least or x.tag in HEADINGS or x.tag not in BLOCKS:
+            kept.append(x)
     return "\n".join(blocks(kept))
 
 
