@@ -226,8 +226,8 @@ def segments_by_gap(spark, sf_dir):
 _STEMS = "SELECT DISTINCT l_orderkey % 50 AS g, l_linenumber + 7 * (l_partkey % 40) AS i, 1000 - l_linenumber - 7 * (l_partkey % 40) - (l_partkey % 3) AS j FROM lineitem WHERE l_quantity > 25"
 
 
-@query(f"""WITH p AS (SELECT g, i, min(j) AS j FROM ({_STEMS}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i) AS r FROM p)
-    SELECT g, min(i) AS i, max(j) AS j, count(*) AS length FROM r GROUP BY g, i - r, j + r""")
+@query(f"""WITH p AS (SELECT g, i, min(j) AS j FROM ({_STEMS}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g, i + j ORDER BY i) AS r FROM p)
+    SELECT g, min(i) AS i, max(j) AS j, count(*) AS length FROM r GROUP BY g, i + j, i - r""")
 def stem_runs(spark, sf_dir):
     lines = _read(spark, sf_dir, "lineitem").where("l_quantity > 25")
     pairs = lines.selectExpr("l_orderkey % 50 AS g", "l_linenumber + 7 * (l_partkey % 40) AS i", "1000 - l_linenumber - 7 * (l_partkey % 40) - (l_partkey % 3) AS j")

@@ -44,10 +44,9 @@ def most_common(df: DataFrame, keys: list[str], value: str, order: str) -> DataF
 
 def stem_runs(pairs: DataFrame, within: list[str]) -> DataFrame:
     """Maximal runs of pairs (i, j) with i rising and j falling by one: first i and j, and the length."""
-    window = Window.partitionBy(*within).orderBy("i")
-    marked = pairs.withColumn("_r", F.row_number().over(window))
-    marked = marked.withColumn("_p", F.col("i") - F.col("_r")).withColumn("_q", F.col("j") + F.col("_r"))
-    return marked.groupBy(*within, "_p", "_q").agg(F.min("i").alias("i"), F.max("j").alias("j"), F.count("*").alias("length")).drop("_p", "_q")
+    marked = pairs.withColumn("_s", F.col("i") + F.col("j"))
+    marked = marked.withColumn("_r", F.col("i") - F.row_number().over(Window.partitionBy(*within, "_s").orderBy("i")))
+    return marked.groupBy(*within, "_s", "_r").agg(F.min("i").alias("i"), F.max("j").alias("j"), F.count("*").alias("length")).drop("_s", "_r")
 
 
 def crossing_pairs(intervals: DataFrame, within: list[str], id_col: str = "id") -> DataFrame:
