@@ -32,18 +32,18 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """width: words of a shingle. common: documents from which a shingle goes last; more where otherwise over
-    ``common_most`` shingles would (their list is broadcast, 8 bytes each). long: documents from which a column is not
+    """width: words of a shingle. common: counted documents from which a shingle goes last; a higher power of two where
+    otherwise over ``common_most`` shingles would (their list is broadcast, 8 bytes each). long: documents from which a column is not
     multiplied pair by pair. block: shingles of a block of columns. rows: documents of a block of rows."""
 
     width: int = 5
-    common: int = 64
+    common: int = 32
     common_most: int = 1_000_000
     chunk: int = 4_000_000
     long: int = 64
     block: int = 1_500_000
     least_blocks: int = 24
-    rows: int = 400
+    rows: int = 800
 
 
 def flatten(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +54,9 @@ def flatten(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
     """Sorted hashes of the shingles that very many documents hold, and the number of shingles in all.
 
-    Each task counts within chunks and reports what occurs at least three times in one; the sums say which shingles are
-    common. They only set the order, which any choice leaves correct. At most ``common_most`` can reach the limit.
+    Each task counts within chunks and reports what occurs at least twice in one; the sums say which shingles are
+    common. They only set the order, which any choice leaves correct. The limit is raised by powers of two until at
+    most ``common_most`` shingles reach it.
     """
 
     def run(batches):
@@ -63,7 +64,7 @@ def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, in
 
         def report():
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            often = counts >= 3
+            often = counts >= 2
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
 
@@ -82,7 +83,10 @@ def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, in
 
     counts = materialize(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("shingle").isNull() | (F.col("n") >= settings.common)), "counts")
     total = counts.where("shingle is null").agg(F.sum("n")).first()[0] or 0
-    least = max(settings.common, -(-total // settings.common_most))
+    levels = counts.where("shingle is not null").groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
+    least = settings.common
+    while sum(r.n for r in levels if r.level >= least.bit_length() - 1) > settings.common_most:
+        least *= 2
     rows = counts.where(F.col("shingle").isNotNull() & (F.col("n") >= least)).select("shingle").toArrow()
     discard(counts)
     return np.sort(np.asarray(rows.column(0)).view(U)), int(total)
