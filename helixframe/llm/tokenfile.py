@@ -32,64 +32,61 @@ LIMIT = 20
 BLOCK = 512
 #: About as many ids are put in one file.
 FILE_IDS = 4_000_000
-#: Words that a task remembers before it starts anew.
-MEMO = 800_000
+#: Words that a Python worker remembers.
+MEMO = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A closing run of punctuation after a letter is a pre-token of its own; set off, it leaves fewer words to remember.
-CLOSING = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[!-&(-/:;=?@\[-`{}~]+(?=[ \n\t\r]|\Z)")
 WORD = re.compile("[^ \t\n\r]+")
 #: Words of which the normaliser changes nothing and the pre-tokeniser makes one token.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: A closing run of punctuation after such a word is a pre-token of its own.
+CLOSED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]+)")
 
 
-class WordTokens:
-    """Encodes by words between blanks, which the tokenizer never joins; remembers the ids of up to MEMO words.
+class WordTokens(dict):
+    """Encodes by words between blanks, which the tokenizer never joins; remembers the ids of the first MEMO words.
 
     For a tokenizer that drops white space and lower-cases; its special tokens, which hold ``<|``, are left alone.
     """
 
     def __init__(self, model: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(model)
-        self.model = self.tokenizer.model
+        self.pieces = self.tokenizer.model.tokenize
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if wide else "<u2")
-        self.bytes = {i: c for i, c in enumerate(byte_characters())}
-        self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def words(text: str | None) -> list[str]:
+        self.bytes = dict(enumerate(byte_characters()))
+
+    def __missing__(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+            ids = np.array([t.id for t in self.pieces(mapped)], self.kind).tobytes()
+        elif parts := CLOSED.fullmatch(word):
+            return self[parts[1]] + self[parts[2]]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self) < MEMO:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as bytes of ``kind``."""
         if not text:
-            return []
+            return b""
         if "<|" not in text:
             text = text.encode().translate(LOWER).decode()
-        return WORD.findall(CLOSING.sub(r" \g<0>", text))
-
-    def _learn(self, words: set[str]) -> None:
-        rest = []
-        for word in words:
-            if PLAIN.fullmatch(word):
-                if not word.isascii():
-                    mapped = word.encode().decode("latin-1").translate(self.bytes)
-                else:
-                    mapped = word
-                self.memo[word] = np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(coded.ids, self.kind).tobytes()
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes of ``kind``."""
-        found = [self.words(x) for x in texts]
-        if new := set().union(*found).difference(self.memo):
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*found)
-            self._learn(new)
-        look = self.memo.__getitem__
-        return [b"".join(map(look, words)) for words in found]
+        return b"".join(map(self.__getitem__, WORD.findall(text)))
+
+
+_loaded: dict[int, WordTokens] = {}
+
+
+def word_tokens(model: str) -> WordTokens:
+    """The encoder of this Python worker; it keeps what it has learnt from one task to the next."""
+    key = hash(model)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = WordTokens(model)
+    return _loaded[key]
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -213,11 +210,11 @@ def tokenise(docs: DataFrame, model: str, end_id: int) -> DataFrame:
     dealt = docs.repartitionByRange(partitions(docs.sparkSession), by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
 
     def run(batches):
-        tokens, place, part = WordTokens(shared.value), 0, TaskContext.get().partitionId()
+        tokens, place, part = word_tokens(shared.value), 0, TaskContext.get().partitionId()
         end = np.array([end_id], tokens.kind).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            ids = [x + end for at in range(0, len(texts), 200) for x in tokens.encode_all(texts[at : at + 200])]
+            ids = [tokens.encode(x) + end for x in texts]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n)), keys, pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "ids"])
             place += n
