@@ -7,6 +7,7 @@ would hide an exchange from adaptive skew handling, and they are read back with
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -31,8 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/helixframe-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there when the driver ends is deleted."""
+    path = f"{shared_dir(spark)}/helixframe-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made[path] = spark
+    return path
+
+
+def _clear() -> None:
+    for path, spark in _made.items():
+        with contextlib.suppress(Exception):  # the session may be over by then
+            delete_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +65,7 @@ def discard(table: DataFrame) -> None:
     path = getattr(table, "_helixframe_path", None)
     if path:
         delete_path(table.sparkSession, path)
+        _made.pop(path, None)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
