@@ -166,3 +166,38 @@ def pdb_documents(atoms: DataFrame, order: str = "line_number") -> DataFrame:
     rows = atoms.select("path", "model", c(order).alias("o"), F.array_join(pieces, "\n").alias("text"))
     grouped = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("model", "o", "text"))).alias("rows"))
     return grouped.select("path", F.concat(F.array_join("rows.text", "\n"), F.lit("\nEND\n")).alias("content"))
+
+
+#: What a PDB file can hold.
+SERIALS, NUMBERS = 99_999, 9_999
+CHAINS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def fits_pdb(atoms: DataFrame) -> DataFrame:
+    """(path, fits): serials, chain names and residue numbers are within what PDB lines can hold."""
+    good = (F.max("serial") <= SERIALS) & (F.max(F.length("chain_id")) <= 1) & (F.max("residue_number") <= NUMBERS)
+    return atoms.groupBy("path").agg(F.coalesce(good, F.lit(True)).alias("fits"))
+
+
+def fit_to_pdb(atoms: DataFrame, order: str = "line_number") -> DataFrame:
+    """Chains as single letters and residues from 1 by first appearance, serials with a gap for each TER.
+
+    Raises ValueError where a file has too many chains, residues in a chain, or atoms.
+    """
+    chains = atoms.groupBy("path", "chain_id").agg(F.min(order).alias("_first"))
+    chains = chains.withColumn("_chain", F.row_number().over(Window.partitionBy("path").orderBy("_first"))).drop("_first")
+    residue = ["path", "chain_id", "residue_number", "insertion_code", "residue_name"]
+    first = F.min(order).over(Window.partitionBy(*[F.col(c) for c in residue]))
+    numbered = atoms.join(chains, ["path", "chain_id"]).withColumn("_first", first)
+    numbered = numbered.withColumn("_number", F.dense_rank().over(Window.partitionBy("path", "chain_id").orderBy("_first")))
+    window = Window.partitionBy("path").orderBy("model", order)
+    change = ~F.lag("chain_id").over(window).eqNullSafe(F.col("chain_id")) | ~F.lag("model").over(window).eqNullSafe(F.col("model"))
+    numbered = numbered.withColumn("_change", change.cast("int")).withColumn("_row", F.row_number().over(window))
+    serial = F.col("_row") + F.sum("_change").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    numbered = numbered.withColumn("_serial", serial)
+    most = numbered.agg(F.max("_chain"), F.max("_number"), F.max("_serial")).first()
+    for value, limit, what in zip(most, (len(CHAINS), NUMBERS, SERIALS), ("chains", "residues in a chain", "atoms")):
+        if value is not None and value > limit:
+            raise ValueError(f"{value} {what} do not fit into a PDB file of at most {limit}")
+    changed = {"chain_id": F.substring(F.lit(CHAINS), F.col("_chain"), F.lit(1)), "residue_number": F.col("_number"), "insertion_code": F.lit(None).cast("string"), "serial": F.col("_serial").cast("int")}
+    return numbered.withColumns(changed).select(*atoms.columns)
