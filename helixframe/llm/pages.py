@@ -36,32 +36,50 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar side-bar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer comment comments disqus respond reply replies share sharing social related recommended recommendations widget widgets alert disclaimer copyright skip".split())
+#: A class or id with one of these speaks of the page's layout; a header with one of those is the article's.
+LAYOUT = frozenset("no not has with without is js layout".split())
+OWN = frozenset("article entry post story content".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False):
+        self.tag, self.parent, self.items, self.doubtful = tag, parent, [], doubtful
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out for what it is, and whether its class or id says that it should be."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return True, False
+    if tag in ("html", "body", "main") or not attributes:
+        return False, False
+    doubtful = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if any(w in UNLIKELY or w == "header" and not in_article for w in re.split(r"[^a-z0-9]+", value)):
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            for word in value.split():
+                parts = frozenset(re.split(r"[^a-z0-9]+", word))
+                if not parts.isdisjoint(UNLIKELY) and parts.isdisjoint(LAYOUT) or "header" in parts and not in_article and parts.isdisjoint(LAYOUT | OWN):
+                    doubtful = True
+        elif tag != "article" and (name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            return True, doubtful
+    return False, doubtful
+
+
+def _prune(root: Node) -> None:
+    """Take out doubtful elements, but for those that hold an article or main element which is not doubtful itself."""
+    nodes = in_order(root)
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        if node.parent is not None and not (node.doubtful and id(node) not in holds) and (node.tag in ("article", "main") or id(node) in holds):
+            holds.add(id(node.parent))
+    for node in nodes:
+        node.items = [x for x in node.items if isinstance(x, str) or not x.doubtful or id(x) in holds]
 
 
 def parse(source: str) -> Node:
@@ -124,11 +142,12 @@ def parse(source: str) -> Node:
                     if lowest is not None:
                         pop_to(lowest)
                 node = stack[-1][1]
-                if node is not None and not _left_out(tag, attributes, articles > 0):
-                    child = Node(tag, node)
-                    node.items.append(child)
-                else:
-                    child = None
+                child = None
+                if node is not None:
+                    out, doubtful = _left_out(tag, attributes, articles > 0)
+                    if not out:
+                        child = Node(tag, node, doubtful)
+                        node.items.append(child)
                 if tag in RAW:
                     close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
                     at = close.end() if close else end
@@ -137,6 +156,7 @@ def parse(source: str) -> Node:
                     articles += tag in ("article", "main")
         match = TOKEN.search(source, at)
     text(source[at:])
+    _prune(root)
     return root
 
 

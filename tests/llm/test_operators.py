@@ -254,6 +254,8 @@ def test_pages(spark):
         ('<div id="cookie-notice">ok</div><div class="content"><h2>H</h2><p>Some text of some length here.</p><script>var t="</p><p>no";</script><ul><li>a<li>b</ul></div><div class=comments><p>me too</p></div>', "H\nSome text of some length here.\na\nb"),
         ("<article><p>x<!-- <p>no --> y</p><form><p>f</p></form><aside>s</aside>z</article>", "x y\nz"),
         ("1 < 2 <b", "1 < 2 <b"),
+        ('<div class="page has-sidebar"><div class="site-header">S</div><div class="entry-header"><h1>T</h1></div><div><p>Text here, and more.</p></div><div class="sidebar">x</div><div class="page-footer">y</div></div>', "T\nText here, and more."),
+        ('<div class="widget"><main><p>kept</p></main></div><div id="comments"><article class="comment"><p>gone</p></article></div>', "kept"),
     ]
     df = spark.createDataFrame([(i, h, "t") for i, (h, _) in enumerate(cases)], "page_id long, html string, text string")
     for r in pages.extract_pages(df).collect():
