@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system: Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(items: list, size: int = 500) -> Iterator[list]:
+    """Parts of a batch, for functions whose arrays are many times as large as their texts."""
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
+
+
 def add_columns(df: DataFrame, ddl: str, compute: Callable[..., Callable[[pa.RecordBatch], list]], *setup) -> DataFrame:
     """``df`` with the columns of ``ddl`` appended; columns of the same names (in any case) are replaced.
 
@@ -29,6 +45,8 @@ def add_columns(df: DataFrame, ddl: str, compute: Callable[..., Callable[[pa.Rec
             assert batch.num_columns == width
             made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(function(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *made], names=[*(batch.schema.names[i] for i in at), *(f.name for f in fields)])
+        del function
+        trim()
 
     return df.mapInArrow(run, schema)
 

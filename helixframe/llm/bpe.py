@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from helixframe.llm.arrow import add_columns
 
 #: Pre-tokens that a task remembers before it starts anew.
-MEMO = 600_000
+MEMO = 300_000
 UNKNOWN = ""
 
 

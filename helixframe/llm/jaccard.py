@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.arrow import slices, trim
 from helixframe.llm.vectors import forest
 from helixframe.llm.words import mix, shingle_sets
 from helixframe.plans.components import connected_components
@@ -69,9 +70,8 @@ def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, in
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                flat, _ = flatten(shingle_sets(texts[at : at + 500], settings.width))
+            for texts in slices(batch.column(0).to_pylist()):
+                flat, _ = flatten(shingle_sets(texts, settings.width))
                 waiting.append(flat)
                 size, total = size + len(flat), total + len(flat)
                 if size >= settings.chunk:
@@ -80,6 +80,7 @@ def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, in
         if size:
             yield report()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["shingle", "n"])
+        trim()
 
     counts = materialize(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("shingle").isNull() | (F.col("n") >= settings.common)), "counts")
     total = counts.where("shingle is null").agg(F.sum("n")).first()[0] or 0
@@ -97,9 +98,13 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            flat, sizes = flatten(shingle_sets(batch.column(1).to_pylist(), settings.width))
-            one, two = _sums(flat, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two)], names=["doc_id", "n", "one", "two"])
+            parts = []
+            for texts in slices(batch.column(1).to_pylist()):
+                flat, sizes = flatten(shingle_sets(texts, settings.width))
+                parts.append((sizes, *_sums(flat, sizes)))
+            sums = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (zip(*parts) if parts else [(), (), ()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], names=["doc_id", "n", "one", "two"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long")
 
@@ -132,8 +137,8 @@ def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, settings: Se
 
         for batch in batches:
             ids, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            for start in range(0, len(texts), 1000):
-                sets = shingle_sets(texts[start : start + 1000], settings.width)
+            for start in range(0, len(texts), 500):
+                sets = shingle_sets(texts[start : start + 500], settings.width)
                 flat, sizes = flatten(sets)
                 one, _ = _sums(flat, sizes)
                 last = is_common(flat)
@@ -166,6 +171,7 @@ def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, settings: Se
                     out[1].append(tokens[a:b].tobytes())
                     out[2].append(np.concatenate([ids[start + at], sizes[at], one[at], many]).astype(np.int64).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["block", "shingles", "documents"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "block long, shingles binary, documents binary")
 
@@ -309,7 +315,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def product(table: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in table["shingles"]])
         parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in table["documents"]]
-        return multiply_block(tokens, *np.concatenate(parts, axis=1), settings)
+        out = multiply_block(tokens, *np.concatenate(parts, axis=1), settings)
+        trim()
+        return out
 
     schema = "a long, b long, na long, nb long, overlap long"
     found = materialize(prefix_blocks(named, common, blocks, settings).groupBy("block").applyInArrow(product, schema), "overlaps")
@@ -326,8 +334,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def to_set(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), settings.width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "set"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets(part.column(1).to_pylist(), settings.width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "set"])
+        trim()
 
     sets = materialize(named.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(to_set, "id long, n long, set binary"), "sets")
 

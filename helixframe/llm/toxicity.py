@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.arrow import add_columns
+from helixframe.llm.arrow import add_columns, slices, trim
 from helixframe.llm.words import word_hashes
 
 BITS = 20
@@ -138,10 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
     def run(batches):
         for batch in batches:
-            rows, words = features(batch.column(3).to_pylist())
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["doc_id", "p", "u", "words"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows, words = features(part.column(3).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["doc_id", "p", "u", "words"])
+        trim()
 
     chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "p", "u", "text")
     rows = chosen.mapInArrow(run, "doc_id long, p int, u int, words array<int>").toArrow().sort_by("doc_id")
@@ -163,7 +166,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer, threshold = shared.value.scorer(), shared.value.threshold
 
         def run(batch: pa.RecordBatch) -> list:
-            scores = scorer(batch.column(column).to_pylist())
+            scores = np.concatenate([np.zeros(0), *map(scorer, slices(batch.column(column).to_pylist()))])
             return [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
 
         return run
