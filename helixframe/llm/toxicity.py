@@ -5,7 +5,8 @@ classifier in numpy over the words of a text is trained on the risk
 
     prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)])
 
-whose second part must not fall below zero: where it does, the step goes up that part instead.
+whose second part must not fall below zero: where it does, the step goes up that part instead. The loss is the sigmoid
+one: it is bounded, so a prior that is too high does not drive all scores up.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ class Settings:
     unlabelled: int = 12000
     features: int = 2048
     apart: float = 4.5
-    rounds: int = 400
-    rate: float = 0.05
-    decay: float = 1e-4
+    rounds: int = 800
+    rate: float = 0.1
+    decay: float = 3e-6
     prior: float | None = None
     threshold: float = 0.3
 
@@ -99,13 +100,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     for step in range(1, settings.rounds + 1):
         margin = np.bincount(rows, w[columns], len(texts)) + b
         chance = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        loss_minus = np.logaddexp(0, margin)
-        rest = loss_minus[~is_p].mean() - prior * loss_minus[is_p].mean()
-        slope = np.where(is_p, -prior * chance / n_p, chance / n_u)  # of the second part
+        rest = chance[~is_p].mean() - prior * chance[is_p].mean()
+        change = chance * (1 - chance)
+        slope = np.where(is_p, -prior / n_p, 1 / n_u) * change  # of the second part
         if rest < 0:
             slope = -slope
         else:
-            slope = slope + np.where(is_p, -prior * (1 - chance) / n_p, 0.0)
+            slope = slope - np.where(is_p, prior / n_p, 0.0) * change
         gradient = np.append(np.bincount(columns, slope[rows], len(chosen)) + settings.decay * w, slope.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
