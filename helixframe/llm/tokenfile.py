@@ -35,7 +35,6 @@ FILE_IDS = 4_000_000
 #: Words that a Python worker remembers.
 MEMO = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-WORD = re.compile("[^ \t\n\r]+")
 #: Words of which the normaliser changes nothing and the pre-tokeniser makes one token.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: A closing run of punctuation after such a word is a pre-token of its own.
@@ -43,7 +42,7 @@ CLOSED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]+)")
 
 
 class WordTokens(dict):
-    """Encodes by words between blanks, which the tokenizer never joins; remembers the ids of the first MEMO words.
+    """Encodes by words (bytes) between blanks, which the tokenizer never joins; remembers the ids of the first MEMO.
 
     For a tokenizer that drops white space and lower-cases; its special tokens, which hold ``<|``, are left alone.
     """
@@ -56,25 +55,24 @@ class WordTokens(dict):
         self.kind = np.dtype("<u4" if wide else "<u2")
         self.bytes = dict(enumerate(byte_characters()))
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode()
         if PLAIN.fullmatch(word):
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+            mapped = word if word.isascii() else raw.decode("latin-1").translate(self.bytes)
             ids = np.array([t.id for t in self.pieces(mapped)], self.kind).tobytes()
         elif parts := CLOSED.fullmatch(word):
-            return self[parts[1]] + self[parts[2]]
+            return self[parts[1].encode()] + self[parts[2].encode()]
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         if len(self) < MEMO:
-            self[word] = ids
+            self[raw] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as bytes of ``kind``."""
-        if not text:
+    def encode(self, raw: bytes | None) -> bytes:
+        """The ids of a text in UTF-8 as bytes of ``kind``."""
+        if not raw:
             return b""
-        if "<|" not in text:
-            text = text.encode().translate(LOWER).decode()
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.translate(LOWER)).split()))
 
 
 _loaded: dict[int, WordTokens] = {}
@@ -213,7 +211,7 @@ def tokenise(docs: DataFrame, model: str, end_id: int) -> DataFrame:
         tokens, place, part = word_tokens(shared.value), 0, TaskContext.get().partitionId()
         end = np.array([end_id], tokens.kind).tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             ids = [tokens.encode(x) + end for x in texts]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n)), keys, pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "ids"])
