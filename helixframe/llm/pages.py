@@ -2,8 +2,10 @@
 
 Each node of the document tree gets its characters per tag, adjusted for the part that lies in links. The densities of
 the children are summed; the node with the largest sum is the core of the article. Nodes outside it are kept where
-their own density reaches the smallest density on the path from the body to the core. Parts that no reader counts as
-article (navigation, forms, scripts, notices, adverts, reader comments) are left out of the tree before scoring.
+their own density reaches the smallest density on the path from the body to the core, as are headings and the
+paragraphs between them and the core. On the path inside an article or main element, what is not mostly links is kept.
+Parts that no reader counts as article (navigation, forms, scripts, notices, adverts, reader comments) are left out of
+the tree before scoring.
 """
 
 from __future__ import annotations
@@ -234,25 +236,72 @@ def main_text(source: str | None) -> str:
     while node is not None:
         path.append(node)
         node = node.parent
-    article = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
-    if article is not None:
-        return "\n".join(blocks([article]))
     least = min(n.density for n in path)
-    on_path = set(map(id, path))
+    on_path = {id(n): k for k, n in enumerate(path)}
+    # Where the path enters an article or main element; what lies inside is kept unless it is links.
+    inner = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=-1)
     kept: list = []
-    todo: list = [root]
+    todo: list = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, near = todo.pop()
         if isinstance(x, str) or x is core:
             kept.append(x)
         elif id(x) in on_path:
-            inner = x.items if x is root else ["\n", *x.items, "\n"]
-            todo.extend(reversed(inner))
-        elif x.density >= least or x.tag in HEADINGS or x.tag not in BLOCKS:
+            if x is not root:
+                kept.append("\n")
+                todo.append(("\n", False))
+            leads = _leads(x, on_path)
+            todo.extend(reversed([(y, on_path[id(x)] <= inner or id(y) in leads) for y in _candidates(x, on_path)]))
+        elif x.density >= least or x.tag not in BLOCKS or _prose(x) and (near or x.tag in HEADINGS):
             kept.append(x)
+        else:
+            todo.extend(reversed([(y, False) for y in x.items if isinstance(y, Node) and (y.tag in BLOCKS and y.tag not in HEADINGS or y.tag == "h1")]))
     return "\n".join(blocks(kept))
 
 
+def _prose(node: Node) -> bool:
+    """Most of the text is no link."""
+    return 2 * node.link_chars < node.chars
+
+
+def _candidates(node: Node, on_path: dict[int, int]) -> list[Node | str]:
+    """Items of a node on the path, without runs of texts and inline elements that are mostly links."""
+    out: list = []
+    run: list = []
+
+    def flush() -> None:
+        chars = sum(len("".join(x.split())) if isinstance(x, str) else x.chars for x in run)
+        if 2 * sum(x.link_chars for x in run if isinstance(x, Node)) < chars:
+            out.extend(run)
+        run.clear()
+
+    for x in node.items:
+        if isinstance(x, Node) and (x.tag in BLOCKS or id(x) in on_path):
+            flush()
+            out.append(x)
+        elif x == "\n":
+            flush()
+            out.append(x)
+        else:
+            run.append(x)
+    flush()
+    return out
+
+
+def _leads(node: Node, on_path: dict[int, int]) -> set[int]:
+    """The paragraphs of a node on the path between a heading and the core, as the lead of an article stands."""
+    leads: set[int] = set()
+    headed = False
+    for x in node.items:
+        if isinstance(x, Node):
+            if id(x) in on_path:
+                return leads
+            if x.tag == "p" and headed:
+                leads.add(id(x))
+            headed = headed or x.tag in HEADINGS and _prose(x)
+    return set()
+
+
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text``, the main text of each whole page, and ``n_chars``, its code points.
 

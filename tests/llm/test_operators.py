@@ -265,6 +265,17 @@ def test_pages(spark):
     assert pages.main_text(deep) == "x\ny"
 
 
+def test_pages_by_density():
+    """Dense siblings, titles and leads outside the core are kept, lists of links are not, even inside main."""
+    links = "<div><ul>" + "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(8)) + "</ul></div>"
+    text = lambda word: f"<p>{' '.join([word] * 40)}</p>" * 5
+    words = lambda page: set(pages.main_text(page).split())
+    assert words(f"<body><article>{text('one')}</article><article>{text('two')}</article>{links}</body>") == {"one", "two"}
+    assert words(f"<body>{links}<div><h1>Title</h1></div><article>{text('one')}</article></body>") == {"Title", "one"}
+    assert words(f"<body>{links}<h1>Title</h1><p>Lead</p><article>{text('one')}</article></body>") == {"Title", "Lead", "one"}
+    assert words(f"<main>{links}<section>{text('one')}</section><section><p>end</p></section></main>") == {"one", "end"}
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     parts = ["under the MIT license", "Apache License, Version 2.0", "CC BY-NC", "under", "the", "cc by", "nc", "Ünder", ". ", "\n", "x"]
