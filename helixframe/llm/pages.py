@@ -4,8 +4,8 @@ Each node of the document tree gets its characters per tag, adjusted for the par
 the children are summed; the node with the largest sum is the core of the article. Nodes outside it are kept where
 their own density reaches the smallest density on the path from the body to the core, as are headings and the
 paragraphs between them and the core. On the path inside an article or main element, what is not mostly links is kept.
-Parts that no reader counts as article (navigation, forms, scripts, notices, adverts, reader comments) are left out of
-the tree before scoring.
+Parts that no reader counts as article (navigation, scripts, notices, adverts, reader comments, forms that do not wrap
+the page) are left out of the tree before scoring.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas menu dialog title audio video map noembed noframes xmp".split())
+LEFT_OUT = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas menu dialog title audio video map noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: An opening tag ends an open element of these, looked for up to the given container.
@@ -38,6 +38,8 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar side-bar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer comment comments disqus respond reply replies share sharing social related recommended recommendations widget widgets alert disclaimer copyright skip".split())
+#: Words for texts of their own; others may stand on a wrapper of the whole page.
+ASIDE = frozenset("cookie cookies consent gdpr notice notices popup modal overlay alert disclaimer copyright comment comments disqus respond reply replies related recommended promo promotion sponsor sponsored sponsors".split())
 #: A class or id with one of these speaks of the page's layout; a header with one of those is the article's.
 LAYOUT = frozenset("no not has with without is js layout".split())
 OWN = frozenset("article entry post story content".split())
@@ -48,42 +50,69 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 class Node:
     __slots__ = ("tag", "parent", "items", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False):
+    def __init__(self, tag: str, parent: Node | None, doubtful: int = 0):
         self.tag, self.parent, self.items, self.doubtful = tag, parent, [], doubtful
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out for what it is, and whether its class or id says that it should be."""
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is left out for what it is, and how doubtful it is: 1 a form or by class or id, 2 a text aside."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True, False
+        return True, 0
+    doubtful = int(tag == "form")
     if tag in ("html", "body", "main") or not attributes:
-        return False, False
-    doubtful = False
+        return False, doubtful
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             for word in value.split():
                 parts = frozenset(re.split(r"[^a-z0-9]+", word))
                 if not parts.isdisjoint(UNLIKELY) and parts.isdisjoint(LAYOUT) or "header" in parts and not in_article and parts.isdisjoint(LAYOUT | OWN):
-                    doubtful = True
-        elif tag != "article" and (name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                    doubtful = max(doubtful, 1 + (not parts.isdisjoint(ASIDE)))
+        elif tag != "article" and (name == "role" and value in ROLES and not (tag == "form" and value == "form") or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True, doubtful
     return False, doubtful
 
 
 def _prune(root: Node) -> None:
-    """Take out doubtful elements, but for those that hold an article or main element which is not doubtful itself."""
+    """Take out doubtful elements, but for those that hold the page's article.
+
+    That is an article or main element which is not doubtful itself; on pages without one, more than half of the text
+    outside links. A text aside with that much stands only with the page's h1 in it, or where nothing else would be left.
+    """
     nodes = in_order(root)
     holds: set[int] = set()
     for node in reversed(nodes):
         if node.parent is not None and not (node.doubtful and id(node) not in holds) and (node.tag in ("article", "main") or id(node) in holds):
             holds.add(id(node.parent))
+    if any(n.doubtful and id(n) not in holds for n in nodes):
+        prose, titled = _prose_chars(nodes, set()), {id(n) for n in nodes if n.tag == "h1"}
+        marked = any(n.tag in ("article", "main") and (not n.doubtful or id(n) in holds) and prose[id(n)] for n in nodes)
+        for node in reversed(nodes):
+            if id(node) in titled and node.parent is not None:
+                titled.add(id(node.parent))
+        most = {id(n): n for n in nodes if n.doubtful and not marked and 2 * prose[id(n)] > prose[id(root)]}
+        holds.update(k for k, n in most.items() if n.doubtful == 1 or k in titled)
+        if not _prose_chars(nodes, {id(n) for n in nodes if n.doubtful and id(n) not in holds})[id(root)]:
+            holds.update(most)
     for node in nodes:
         node.items = [x for x in node.items if isinstance(x, str) or not x.doubtful or id(x) in holds]
 
 
+def _prose_chars(nodes: list[Node], without: set[int]) -> dict[int, int]:
+    """Characters outside links of nodes, parents first, without those of some parts."""
+    chars: dict[int, int] = dict.fromkeys(map(id, nodes), 0)
+    for node in reversed(nodes):
+        if node.tag == "a" or id(node) in without:
+            chars[id(node)] = 0
+            continue
+        chars[id(node)] += sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        if node.parent is not None:
+            chars[id(node.parent)] += chars[id(node)]
+    return chars
+
+
 def parse(source: str) -> Node:
     """The tree of kept elements; texts stand in ``items`` between the child nodes. Any input gives a tree."""
     root = Node("body", None)

@@ -276,6 +276,20 @@ def test_pages_by_density():
     assert words(f"<main>{links}<section>{text('one')}</section><section><p>end</p></section></main>") == {"one", "end"}
 
 
+def test_pages_in_doubtful_wrappers():
+    """Forms and classes on a wrapper of the page do not empty it; small forms, side parts and long comments go."""
+    text = lambda word, n=5: f"<p>{' '.join([word] * 40)}</p>" * n
+    words = lambda page: set(pages.main_text(page).split())
+    small = '<form class="login"><p>name</p></form><div class="sidebar"><p>side</p></div>'
+    assert words(f'<form id="aspnetForm" action="/x"><div><article>{text("one")}</article></div>{small}</form>') == {"one"}
+    assert words(f'<form role="form">{text("one")}</form>{small}') == {"one"}
+    assert words(f'<div id="page" class="right-sidebar">{text("one")}{small}</div><footer>end</footer>') == {"one"}
+    assert words(f'<div class="content sidebar-left"><h1>one</h1>{text("one")}</div>{small}') == {"one"}
+    assert words(f'<div class="page comments-open"><h1>one</h1>{text("one")}</div>{small}') == {"one"}
+    assert words(f'<div class="comments-open">{text("one")}</div>{small}') == {"one"}
+    assert words(f'<div><h1>one</h1>{text("one", 2)}</div><div id="comments">{text("two")}</div>') == {"one"}
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     parts = ["under the MIT license", "Apache License, Version 2.0", "CC BY-NC", "under", "the", "cc by", "nc", "Ünder", ". ", "\n", "x"]
