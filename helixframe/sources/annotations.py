@@ -16,6 +16,11 @@ from helixframe.sources.pdb import scan_lines
 TWELVE = ("cWW", "tWW", "cWH", "tWH", "cWS", "tWS", "cHH", "tHH", "cHS", "tHS", "cSS", "tSS")
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX", "XXI", "XXII", "XXIII", "XXIV", "XXV", "XXVI", "XXVII", "XXVIII")
 FR3D_STACKS = {"s33": "downward", "s55": "upward", "s35": "outward", "s53": "inward"}
+#: Lines of BPNet's .rob files: adjacent and other stacking and adjacent contacts; parts of a nucleotide by atom.
+ROB_STACKS = ("ASTK", "OSTK", "ADJA")
+ROB_PHOSPHATE = ("P", "OP1", "OP2", "O5'", "C5'", "C4'", "C3'", "O3'", "O5*", "C5*", "C4*", "C3*", "O3*")
+ROB_RIBOSE = ("C1'", "C2'", "O2'", "O4'", "C1*", "C2*", "O2*", "O4*")
+ROB_BASE = ("C2", "C4", "C5", "C6", "C8", "N1", "N2", "N3", "N4", "N6", "N7", "N9", "O2", "O4", "O6")
 COLUMNS = ["path", "tool", "kind", *[f"{c}_{k}" for k in (1, 2) for c in ("chain", "number", "icode", "name")], "lw", "saenger", "topology", "code"]
 TYPES = {"number_1": "int", "number_2": "int"}
 
@@ -73,22 +78,58 @@ def read_maxit(spark: SparkSession, path: str) -> DataFrame:
     return unified(rows.withColumn("kind", F.when(F.col("lw").isNull() & F.col("saenger").isNull(), "other").otherwise("base-pair")), "maxit")
 
 
+def _known(value: Column) -> Column:
+    return F.when(~F.trim(value).isin("", "?", "."), value)
+
+
 def read_bpnet(spark: SparkSession, path: str) -> DataFrame:
-    """The pairs of BPNet's JSON; edges + z g stand for W S H."""
+    """The pairs of BPNet's JSON and the contacts of its .rob files, by file name; edges + z g stand for W S H."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     schema = "basepairs array<struct<resnum1:int,chain1:string,ins1:string,resname1:string,resnum2:int,chain2:string,ins2:string,resname2:string,basepair:string>>"
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
-    rows = files.select("path", F.explode("j.basepairs").alias("b"))
+    rows = files.where(~F.col("path").endswith(".rob")).select("path", F.explode(F.from_json("value", schema)["basepairs"]).alias("b"))
     code = F.translate(F.col("b.basepair"), "+zg", "WSH")
     lw = lw_text(F.concat(F.substring(code, 4, 1), F.substring(code, 1, 1), F.substring(code, 3, 1)))
     fields = {f"{n}_{k}": F.col(f"b.{o}{k}") for k in (1, 2) for n, o in (("chain", "chain"), ("number", "resnum"), ("icode", "ins"), ("name", "resname"))}
-    rows = rows.withColumns(fields).withColumns({"lw": lw, "code": F.col("b.basepair")})
-    return unified(rows.withColumn("kind", F.when(F.col("lw").isNull(), "other").otherwise("base-pair")), "bpnet")
-
-
-def read_dssr(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs and the consecutive members of stacks of DSSR's JSON."""
-    schema = "pairs array<struct<nt1:string,nt2:string,LW:string,Saenger:string>>, stacks array<struct<nts_long:string>>"
+    rows = rows.withColumns(fields).withColumns({f"{n}_{k}": _known(F.col(f"{n}_{k}")) for k in (1, 2) for n in ("chain", "icode")})
+    rows = rows.withColumns({"lw": lw, "code": F.col("b.basepair")})
+    rows = rows.withColumn("kind", F.when(F.col("lw").isNull(), "other").otherwise("base-pair"))
+    lines = files.where(F.col("path").endswith(".rob")).select("path", F.explode(F.split("value", r"\r?\n")).alias("value"))
+    return unified(rows, "bpnet").unionByName(unified(_rob_contacts(lines), "bpnet"))
+
+
+def _rob_contacts(lines: DataFrame) -> DataFrame:
+    """Contacts of (path, value): OVLP lines of 13 fields and PROX lines of 11; a base comes before its backbone.
+
+    Each PROX line gives an 'other' contact too, as its atoms lie near whatever else they do.
+    """
+    f = F.split(F.trim("value"), r"\s+")
+    at = lambda i: F.get("f", F.lit(i))
+    rows = lines.withColumn("f", f).where((F.col("value").startswith("OVLP") & (F.size("f") == 13) & at(7).isin(*ROB_STACKS)) | (F.col("value").startswith("PROX") & (F.size("f") == 11)))
+    half = lambda i, sep, k: F.get(F.split(at(i), sep), F.lit(k))
+    sides = [F.struct(_known(half(6, r"\^", k)).alias("chain"), half(3, ":", k).try_cast("int").alias("number"), _known(at(2 + 2 * k)).alias("icode"), half(5, ":", k).alias("name")) for k in (0, 1)]
+    part = lambda a: F.when(a.isin(*ROB_PHOSPHATE), "phosphate").when(a.isin(*ROB_RIBOSE), "ribose").when(a.isin(*ROB_BASE), "base")
+    rows = rows.select("path", at(0).alias("record"), at(7).alias("code"), sides[0].alias("one"), sides[1].alias("two"), part(half(7, ":", 0)).alias("p1"), part(half(7, ":", 1)).alias("p2"))
+    rows = rows.where("one.number is not null and two.number is not null")
+    turned = F.coalesce(F.col("p1").isin("ribose", "phosphate") & (F.col("p2") == "base"), F.lit(False))
+    forward = F.coalesce(F.col("p2").isin("ribose", "phosphate") & (F.col("p1") == "base"), F.lit(False))
+    contact = F.struct(F.when(forward, F.concat(F.lit("base-"), "p2")).when(turned, F.concat(F.lit("base-"), "p1")).alias("kind"), F.when(turned, F.col("two")).otherwise(F.col("one")).alias("one"), F.when(turned, F.col("one")).otherwise(F.col("two")).alias("two"))
+    plain = lambda kind: F.struct(F.lit(kind).alias("kind"), "one", "two")
+    found = F.when(F.col("record") == "OVLP", F.array(plain("stacking"))).otherwise(F.filter(F.array(contact, plain("other")), lambda x: x["kind"].isNotNull()))
+    rows = rows.select("path", "code", F.explode(found).alias("c"))
+    return rows.select("path", "code", "c.kind", *[F.col(f"c.{unit}.{n}").alias(f"{n}_{k}") for k, unit in ((1, "one"), (2, "two")) for n in ("chain", "number", "icode", "name")])
+
+
+def read_dssr(spark: SparkSession, path: str, model: int | None = None) -> DataFrame:
+    """Pairs and the consecutive members of stacks of DSSR's JSON.
+
+    Of a file of many models the asked one is read, by default the first; a file without the asked one gives no row.
+    """
+    result = "pairs array<struct<nt1:string,nt2:string,LW:string,Saenger:string>>, stacks array<struct<nts_long:string>>"
+    schema = f"{result}, models array<struct<model:int,parameters:struct<{result.replace(' array', ':array')}>>>"
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
+    models = F.col("j.models") if model is None else F.filter("j.models", lambda m: m["model"] == model)
+    chosen = F.get(models, F.lit(0))["parameters"]
+    files = files.select("path", F.when(F.col("j.models").isNull(), F.struct("j.pairs", "j.stacks")).otherwise(F.struct(chosen["pairs"].alias("pairs"), chosen["stacks"].alias("stacks"))).alias("j"))
     pairs = files.select("path", F.explode("j.pairs").alias("b")).select("path", F.lit("base-pair").alias("kind"), F.col("b.nt1").alias("one"), F.col("b.nt2").alias("two"), lw_text(F.col("b.LW")).alias("lw"), F.col("b.LW").alias("code"))
     members = files.select("path", F.posexplode("j.stacks").alias("s", "b")).select("path", "s", F.split("b.nts_long", ",").alias("n"))
     steps = members.select("path", F.explode(F.arrays_zip(F.expr("slice(n, 1, size(n) - 1)").alias("one"), F.expr("slice(n, 2, size(n))").alias("two"))).alias("z"))
