@@ -32,3 +32,27 @@ def test_frames(spark):
     axes = [("x", 1, [0.0, 1.0, 0.0], [0.0, 0.0, 0.0]), ("x", 2, [5.0, 0.0, 0.0], [5.0, math.cos(turn), math.sin(turn)])]
     r = stems.stem_pairs(spark.createDataFrame(axes, "id string, stem int, first array<double>, last array<double>")).first()
     assert math.isclose(r.gap, 5.0) and math.isclose(abs(r.torsion), turn) and math.isclose(r.coaxial, 1.0)
+
+
+def test_orders_of_large_groups(spark):
+    """Where the exact search does not end, orders are still legal, better than its first ones, and marked."""
+    rng = random.Random(7)
+    ends = rng.sample(range(1000), 120)
+    items = [(*sorted(ends[2 * k : 2 * k + 2]), rng.randint(1, 9)) for k in range(60)]
+    # The search alone ends at -939 here.
+    df = spark.createDataFrame([("x", *s) for s in items] + [("y", 1, 20, 3), ("y", 10, 30, 5)], "id string, i int, j int, length long")
+    got = stems.orders_best(df).collect()
+    assert {r.id: r.proven for r in got} == {"x": False, "y": True}
+    large = [r for r in got if r.id == "x"]
+    assert len(large) == 60 and not any(a.order == b.order and crossing((a.i, a.j), (b.i, b.j)) for a, b in itertools.combinations(large, 2))
+    assert value([(r.i, r.j, r.length) for r in large], [r.order for r in large]) > -850
+
+
+def test_peel_finds_the_heaviest_level():
+    rng = random.Random(2)
+    for _ in range(60):
+        items = [(*sorted(rng.sample(range(14), 2)), rng.randint(1, 6)) for _ in range(8)]
+        found = stems._peel(items, list(range(8)))
+        sets = [c for n in range(9) for c in itertools.combinations(range(8), n) if not any(crossing(items[a], items[b]) for a, b in itertools.combinations(c, 2))]
+        assert sum(items[s][2] for s in found if found[s] == 0) == max(sum(items[s][2] for s in c) for c in sets)
+        assert not any(found[a] == found[b] and crossing(items[a], items[b]) for a, b in itertools.combinations(range(8), 2))
