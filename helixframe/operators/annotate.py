@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import geometry
+from helixframe.functions.residues import AMINO_ACIDS, WATER_NAMES
 from helixframe.operators.spatial import radius_join
-from helixframe.operators.structure import with_residues
+from helixframe.operators.structure import RESIDUE, with_residues
 
 # Heavy atoms of the bases, donors, acceptors and the edges that each atom lies on.
 BASE_ATOMS = {
@@ -36,12 +37,44 @@ def _table(pairs: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def bases(atoms: DataFrame, order: str = "line_number") -> DataFrame:
-    """One row per residue with a base: letter, centroid, normal and a map of its atoms; first atom of a name wins."""
-    letter = F.regexp_extract("residue_name", "^D?([ACGUT])$", 1)
-    marked = with_residues(atoms, order).withColumn("letter", letter).where("letter <> ''").withColumn("p", geometry.point(F.col("x"), F.col("y"), F.col("z")))
+def letter_of_name(name: Column) -> Column:
+    """The base of a residue name, null if it tells none: one letter, a letter after D, else a letter at the end."""
+    letter = F.when(F.length(name) == 1, name).when(name.rlike("^[Dd].$"), F.substring(name, 2, 1)).otherwise(F.regexp_extract(name, "[A-Za-z]$", 0))
+    return F.when(letter.isin(*BASE_ATOMS), letter)
+
+
+def letter_of_atoms(names: Column) -> Column:
+    """The base that has the largest part of its atoms among ``names``, the first of A, C, G, U, T at a tie, null if none."""
+    parts = [(F.size(F.array_intersect(names, F.array(*map(F.lit, BASE_ATOMS[k].split())))) / len(BASE_ATOMS[k].split())).alias("part") for k in "ACGUT"]
+    most = F.greatest(*parts)
+    out = F.lit(None).cast("string")
+    for k, part in reversed(list(zip("ACGUT", parts))):
+        out = F.when(part == most, F.lit(k)).otherwise(out)
+    return F.when(most > 0, out)
+
+
+def bases(atoms: DataFrame, order: str = "line_number", standards: DataFrame | None = None) -> DataFrame:
+    """One row per residue with a base: letter, centroid, normal and a map of its atoms; first atom of a name wins.
+
+    The letter follows from ``standards`` (path, chain_id, residue_number, insertion_code, residue_name, standard_name),
+    as read_modres and cif.standard_names give them, else from the name, else from the atoms. A residue whose name is not
+    that of a plain nucleotide needs the atoms of the base's plane.
+    """
+    marked = with_residues(atoms, order).where(~F.coalesce(F.col("residue_name").isin(*WATER_NAMES, *AMINO_ACIDS), F.lit(False))).withColumn("p", geometry.point(F.col("x"), F.col("y"), F.col("z")))
     entry = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "atom_name", "p")))
-    grouped = marked.groupBy("path", "model", "residue", "chain_id", "residue_number", "insertion_code", "residue_name", "letter").agg(entry.alias("e"))
+    grouped = marked.groupBy("path", "model", "residue", "chain_id", "residue_number", "insertion_code", "residue_name").agg(entry.alias("e"))
+    plain = F.col("residue_name").rlike("^D?[ACGUT]$")
+    standard = F.lit(None).cast("string")
+    if standards is not None:
+        keys = ["path", *RESIDUE]
+        given = standards.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("standard_name").alias("_standard"))
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        grouped = grouped.join(given, match, "left").drop(*[f"_{k}" for k in keys])
+        standard = F.col("_standard")
+    letter = F.coalesce(letter_of_name(standard), letter_of_name(F.col("residue_name")), letter_of_atoms(F.col("e.atom_name")))
+    grouped = grouped.withColumn("letter", letter).where("letter is not null").drop("_standard")
     first = F.filter(F.col("e"), lambda x, k: ~F.exists(F.slice("e", 1, k), lambda y: y["atom_name"] == x["atom_name"]))
     grouped = grouped.withColumn("atoms", F.map_from_entries(F.transform(first, lambda x: F.struct(x["atom_name"], x["p"])))).drop("e")
     names = F.split(_table(BASE_ATOMS)[F.col("letter")], " ")
@@ -53,6 +86,7 @@ def bases(atoms: DataFrame, order: str = "line_number") -> DataFrame:
     start = F.when(purine, get("N9")).otherwise(get("N1"))
     normal = geometry.base_normal(start, F.when(purine, get("N7")).otherwise(get("C4")), F.when(purine, get("N3")).otherwise(get("O2")))
     whole = start.isNotNull() & F.when(purine, get("N7").isNotNull() & get("N3").isNotNull()).otherwise(get("C4").isNotNull() & get("O2").isNotNull())
+    grouped = grouped.where(plain | whole)
     return grouped.withColumn("centroid", centroid).withColumn("normal", F.when(whole, normal)).withColumn("glycosidic", start).drop("own")
 
 

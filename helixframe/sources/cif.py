@@ -123,6 +123,26 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def standard_names(spark: SparkSession, path: str) -> DataFrame:
+    """Standard names of residues, keyed as in read_atoms: the letter of the entity's sequence, else the modification's parent."""
+    rows = read_categories(spark, path)
+    item = lambda name: null_marker(F.try_element_at("attrs", F.lit(name)))
+
+    def either(kind: str, old: str) -> Column:
+        return F.when(F.map_contains_key("attrs", f"auth_{kind}"), item(f"auth_{kind}")).otherwise(item(old))
+
+    residue = [either("asym_id", "label_asym_id").alias("chain_id"), either("seq_id", "label_seq_id").try_cast("int").alias("residue_number")]
+    name = either("comp_id", "label_comp_id").alias("residue_name")
+    site = rows.where("category = 'atom_site'").select("path", *residue, item("pdbx_PDB_ins_code").alias("insertion_code"), name, item("label_entity_id").alias("entity"), item("label_seq_id").try_cast("int").alias("place")).distinct()
+    poly = rows.where("category = 'entity_poly'").select("path", item("entity_id").alias("entity"), F.regexp_replace(item("pdbx_seq_one_letter_code_can"), r"\s", "").alias("sequence"))
+    letter = F.when(F.col("place") >= 1, F.expr("substring(sequence, place, 1)"))
+    listed = site.join(poly, ["path", "entity"]).withColumn("standard_name", letter).where("standard_name in ('A', 'C', 'G', 'U', 'T')")
+    keys = ["path", "chain_id", "residue_number", "insertion_code", "residue_name"]
+    changed = rows.where("category = 'pdbx_struct_mod_residue'").select("path", *residue, item("PDB_ins_code").alias("insertion_code"), name, item("parent_comp_id").alias("standard_name"))
+    both = listed.select(*keys, "standard_name", F.lit(0).alias("rank")).unionByName(changed.where("standard_name is not null").select(*keys, "standard_name", F.lit(1).alias("rank")))
+    return both.groupBy(*keys).agg(F.min_by("standard_name", "rank").alias("standard_name"))
+
+
 def quote(value: Column) -> Column:
     """A value as mmCIF text: null as ?, quoted where it needs to be."""
     risky = value.rlike(r"\s|^[_#$'\"\[\];]|^(?i)(data_|loop_|save_|stop_|global_)") | (value == "")
