@@ -93,9 +93,51 @@ def _turns(record: Column, layout: Layout) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def _joint_turns(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Turns of all fields that the layouts speak of: system, user, the elements of arrays, assistant; null without a text.
+
+    Different texts of one element are joined by a newline. A field whose text an element of its role has is not
+    repeated, as prompt beside messages.
+    """
+    turn = "array<struct<role:string,text:string>>"
+    arrays: dict[str, tuple[dict, dict, dict]] = {}
+    fields: dict[tuple[str, str], None] = {}
+    for layout in layouts:
+        for rule in layout.rules:
+            if rule[0] == "each":
+                who, what, roles = arrays.setdefault(rule[1], ({}, {}, {}))
+                who[rule[2]] = what[rule[3]] = None
+                roles.update(layout.roles)
+            else:
+                fields[rule[1], rule[2]] = None
+
+    def elements(array: str) -> Column:
+        who, what, roles = arrays[array]
+
+        def of(e: Column) -> Column:
+            role = F.coalesce(*[F.try_variant_get(e, f"$.{w}", "string") for w in who])
+            for old, new in roles.items():
+                role = F.when(role == old, F.lit(new)).otherwise(role)
+            texts = F.array_distinct(F.array_compact(F.array(*[F.try_variant_get(e, f"$.{w}", "string") for w in what])))
+            return F.struct(_blank(role).alias("role"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("text"))
+
+        return F.coalesce(F.transform(F.try_variant_get(record, f"$.{array}", "array<variant>"), of), F.array().cast(turn))
+
+    def single(*wanted: str) -> Column:
+        found = [F.struct(F.lit(role).alias("role"), F.try_variant_get(record, f"$.{field}", "string").alias("text")) for role, field in fields if role in wanted]
+        kept = F.filter(F.array(*found).cast(turn), lambda t: t["text"].isNotNull())
+        return F.filter(kept, lambda t: ~F.exists(many, lambda m: m.eqNullSafe(t)))
+
+    many = F.concat(*[elements(a) for a in arrays]) if arrays else F.array().cast(turn)
+    others = sorted({role for role, _ in fields} - {"system", "user", "assistant"})
+    turns = F.concat(single("system"), single("user", *others), many, single("assistant"))
+    held = F.exists(turns, lambda t: t["text"].isNotNull())
+    return F.when(held, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), _blank(t["text"]).alias("text"))))
+
+
 def canonical_turns(record: Column, mark: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Turns by the mapping that the fingerprint ``mark`` selects; null where no layout has that fingerprint."""
-    out = F.lit(None).cast("array<struct<role:string,text:string>>")
+    """Turns by the mapping that the fingerprint ``mark`` selects, those of all known fields where no layout has it."""
+    out = _joint_turns(record, layouts)
     for layout in layouts:
         out = F.when(mark == path_hash(layout.paths), _turns(record, layout)).otherwise(out)
     return out
@@ -148,8 +190,9 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 def format_records(df: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``df`` with ``layout_hash``, ``formatted`` and ``loss_spans``.
 
-    The record column is a variant, a struct, or a JSON string. Where the record is null, no JSON, or of no known
-    layout, formatted and loss_spans are null. Null roles and texts count as empty. Input columns of these names are
+    The record column is a variant, a struct, or a JSON string. A record that mixes fields of several layouts gets the
+    turns of all of them. Where the record is null, no JSON, or has no text in a known field, formatted and loss_spans
+    are null; :func:`unmapped_counts` counts those. Null roles and texts count as empty. Input columns of these names are
     replaced. An empty table gives an empty table.
     """
     kind = dict(df.dtypes)[record_col]
@@ -163,6 +206,11 @@ def format_records(df: DataFrame, record_col: str, layouts: tuple[Layout, ...] =
     return turns.withColumn("formatted", render(F.col("_chat_turns"))).withColumn("loss_spans", loss_spans(F.col("_chat_turns"))).drop("_chat_record", "_chat_turns")
 
 
+def unmapped_counts(formatted: DataFrame) -> DataFrame:
+    """(layout_hash, n_records) of the records that :func:`format_records` gave no text."""
+    return formatted.where("formatted is null").groupBy("layout_hash").agg(F.count("*").alias("n_records"))
+
+
 def collect_records(rows: DataFrame) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as one record per conversation, in order of turn, role and text."""
     turn = F.struct("turn", _blank(F.col("role")).alias("role"), _blank(F.col("text")).alias("text"))

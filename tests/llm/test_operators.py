@@ -116,6 +116,23 @@ def test_chat_layouts(spark):
     assert chat.format_records(df.limit(0), "record").count() == 0
 
 
+def test_chat_mixed_layouts(spark):
+    """Records that mix the fields of several layouts lose no text; those without any are counted."""
+    records = [
+        ('{"prompt": "a", "prompt_id": 1, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt": "x", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', [("user", "x"), ("user", "a"), ("assistant", "b")]),
+        ('{"instruction": "do", "input": "this", "output": "done", "system": "s"}', [("system", "s"), ("user", "do"), ("user", "this"), ("assistant", "done")]),
+        ('{"question": "q", "answer": "a", "system": "s"}', [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ('{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "text": "b"}, {"role": "user", "content": "c", "text": "d"}, {"role": "assistant"}]}', [("user", "a"), ("assistant", "b"), ("user", "c\nd"), ("assistant", "")]),
+        ('{"conversations": [{"from": "human", "value": "a"}, {"role": "gpt", "content": "b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"messages": [{"content": "a"}]}', [("", "a")]), ('{"messages": [{"role": "user"}]}', None), ('{"other": 1}', None),
+    ]
+    out = chat.format_records(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "id long, record string"), "record").withColumn("turns", chat.read_back(F.col("formatted"))).cache()
+    for row in out.collect():
+        assert (None if row.turns is None else [tuple(t) for t in row.turns]) == records[row.id][1]
+    assert sum(r.n_records for r in chat.unmapped_counts(out).collect()) == 2
+
+
 def test_chat_table(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "x"), (2, 0, None, "y"), (2, 0, None, "y"), (3, 0, "assistant", "\\<s>\\"), (None, 0, "user", "z")]
     records = chat.collect_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
