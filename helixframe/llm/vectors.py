@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     def run(batches):
         for batch in batches:
-            sizes = np.asarray(pa.compute.list_value_length(batch.column("v")))
+            sizes = np.asarray(pc.list_value_length(batch.column("v")))
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
                 x = matrix(part.column("v"))

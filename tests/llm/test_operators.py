@@ -174,19 +174,53 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_topk(spark):
+def brute_top(rows, k=5, every=50):
+    """(query, rank, id, score) from whole numbers; ids that repeat are one query and one candidate, by their best."""
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(256 * x) for x in v)]
+    best = {}
+    for q, u in whole:
+        if q % every == 0:
+            for i, v in whole:
+                if i != q and len(u) == len(v):
+                    score = max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(u, v))))
+                    best[q, i] = max(score, best.get((q, i), score))
+    out = []
+    for q in {q for q, _ in best}:
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for (p, i), s in best.items() if p == q)[:k])]
+    return sorted(out)
+
+
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.integers(-4, 4, 12) / 8 if i % 3 else np.ones(12) / 4).tolist()) for i in range(240)]
     rows += [(1000, None), (1050, [float("inf")] * 12), (1100, [1.0, None] + [0.0] * 10), (1150, [0.5, 0.5]), (1151, [0.25, 0.5]), (1200, [1e12] * 12)]
-    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in whole:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    assert got == sorted(want)
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    rows += [(50, (rng.integers(-4, 4, 12) / 8).tolist()), (50, (rng.integers(-4, 4, 12) / 8).tolist()), (7, [2.0] * 12), (7, [2.0] * 12), (None, [1.0] * 12), (1250, [1e200] * 12), (1300, [3e305] * 12), (1301, [-1e307] * 12)]
+    schema = "vec_id long, embedding array<double>, score string"
+    df = spark.createDataFrame([(*r, "x") for r in rows], schema)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top(rows)
+    monkeypatch.setattr(topk, "VECTORS", 40)  # leaves, parts and boxes
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == brute_top(rows, every=10)
+    assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_topk_of_wide_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(768).tolist()) for i in range(120)] + [(500 + i, (1e9 * rng.standard_normal(768)).tolist()) for i in range(4)]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == brute_top(rows)
+
+
+def test_topk_bounds():
+    """Every level leaves the best pairs, and finer ones leave no more pairs."""
+    rng = np.random.default_rng(7)
+    centres = np.repeat(rng.standard_normal((20, 8)), 8, axis=1)
+    x = np.floor(256 * (centres[rng.integers(0, 20, 2000)] + 0.1 * rng.standard_normal((2000, 64))))
+    left: dict = {}
+    q_ids, ids, scores = topk.top_pairs(x[:50], x, np.arange(50), np.arange(2000), 5, survivors=left)
+    exact = x[:50] @ x.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    assert (scores.reshape(50, 5) == -np.sort(-exact, axis=1)[:, :5]).all()
+    assert left[2] >= left[8] >= left[32] and left[8] < 0.3 * exact.size
 
 
 def test_mixing(spark):
