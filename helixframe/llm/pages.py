@@ -10,6 +10,8 @@ the page) are left out of the tree before scoring.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html
 import math
 import re
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 
 from helixframe.llm.arrow import add_columns
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+#: Comments and declarations by their heads only; a tag needs its end.
+TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]()()()()()()")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas menu dialog title audio video map noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article main section table".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: An opening tag ends an open element of these, looked for up to the given container.
 IMPLIED = {
@@ -41,12 +46,23 @@ UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising sponso
 #: Words for texts of their own; others may stand on a wrapper of the whole page.
 ASIDE = frozenset("cookie cookies consent gdpr notice notices popup modal overlay alert disclaimer copyright comment comments disqus respond reply replies related recommended promo promotion sponsor sponsored sponsors".split())
 #: A class or id with one of these speaks of the page's layout; a header with one of those is the article's.
-LAYOUT = frozenset("no not has with without is js layout".split())
+LAYOUT = frozenset("no not has with without is js layout of to for".split())
+#: Quotations and listings are text, whatever their class says; adverts are named as such.
+QUOTED = frozenset("blockquote pre figure table h1 h2 h3 h4 h5 h6".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion".split())
 OWN = frozenset("article entry post story content".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+class Break(str):
+    """Stands between the texts of a node where a block ends without an element."""
+
+
+BREAK = Break("\n")
+ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
+
+
 class Node:
     __slots__ = ("tag", "parent", "items", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
@@ -68,7 +84,7 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
         if name in ("class", "id"):
             for word in value.split():
                 parts = frozenset(re.split(r"[^a-z0-9]+", word))
-                if not parts.isdisjoint(UNLIKELY) and parts.isdisjoint(LAYOUT) or "header" in parts and not in_article and parts.isdisjoint(LAYOUT | OWN):
+                if not parts.isdisjoint(ADVERTS if tag in QUOTED else UNLIKELY) and parts.isdisjoint(LAYOUT) or "header" in parts and not in_article and parts.isdisjoint(LAYOUT | OWN):
                     doubtful = max(doubtful, 1 + (not parts.isdisjoint(ASIDE)))
         elif tag != "article" and (name == "role" and value in ROLES and not (tag == "form" and value == "form") or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True, doubtful
@@ -113,39 +129,54 @@ def _prose_chars(nodes: list[Node], without: set[int]) -> dict[int, int]:
     return chars
 
 
+@functools.lru_cache(4096)
+def _kinds(tag: str) -> tuple[str, ...]:
+    """The tag and the kinds of elements it belongs to."""
+    sets = {"#block": BLOCKS, "#container": CONTAINERS, "#article": ("article", "main")}
+    return tag, *(kind for kind, tags in sets.items() if tag in tags)
+
+
 def parse(source: str) -> Node:
     """The tree of kept elements; texts stand in ``items`` between the child nodes. Any input gives a tree."""
     root = Node("body", None)
     stack: list[tuple[str, Node | None]] = [("#root", root)]  # None: inside a part that is left out
-    articles = 0
+    places: dict[str, list[int]] = {}  # depths of the open elements of a tag, and of those of a kind
     at, end = 0, len(source)
+    last = source.rfind(">") + 1  # no tag ends behind it
+
+    def deepest(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def push(tag: str, child: Node | None) -> None:
+        for kind in _kinds(tag):
+            places.setdefault(kind, []).append(len(stack))
+        stack.append((tag, child))
 
     def pop_to(depth: int) -> None:
-        nonlocal articles
         while len(stack) > depth:
-            articles -= stack.pop()[0] in ("article", "main")
+            for kind in _kinds(stack.pop()[0]):
+                places[kind].pop()
 
     def text(chunk: str) -> None:
         node = stack[-1][1]
         if node is not None and chunk:
             node.items.append(html.unescape(chunk) if "&" in chunk else chunk)
 
-    match = TOKEN.search(source)
+    match = TOKEN.search(source, 0, last) or OPENING.search(source, last)
     while match:
         text(source[at : match.start()])
         at = match.end()
         closing, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
         if tag is None:
-            if source.startswith("<![CDATA[", match.start()):
-                text(source[match.start() + 9 : at].removesuffix("]]>"))
+            close = source.find(ENDS[match[0]], at)
+            if match[0] == "<![CDATA[":
+                text(source[at : close if close >= 0 else end])
+            at = close + len(ENDS[match[0]]) if close >= 0 else end
         elif closing:
             tag = tag.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCKS and tag not in BLOCKS or tag in ("p", "li") and stack[depth][0] in ("article", "main", "section", "table"):
-                    break
+            depth = deepest(tag)
+            if depth and (tag in BLOCKS or depth > deepest("#block")) and not (tag in ("p", "li") and depth < deepest("#container")):
+                pop_to(depth)
         else:
             tag = tag.lower()
             node = stack[-1][1]
@@ -153,39 +184,31 @@ def parse(source: str) -> Node:
                 if node is not None:
                     node.tags += 1
                     if tag in ("br", "hr"):
-                        node.items.append(" " if tag == "br" else "\n")
+                        node.items.append(" " if tag == "br" else BREAK)
             else:
-                if tag in CLOSES_P:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == "p":
-                            pop_to(depth)
-                            break
-                        if stack[depth][0] in BLOCKS:
-                            break
+                if tag in CLOSES_P and (depth := deepest("p")) and depth == deepest("#block"):
+                    pop_to(depth)
                 if tag in IMPLIED:
                     ended, containers = IMPLIED[tag]
-                    lowest = None
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in containers:
-                            break
-                        if stack[depth][0] in ended:
-                            lowest = depth
-                    if lowest is not None:
-                        pop_to(lowest)
+                    outside = deepest(*containers)
+                    inner = [open_at[i] for x in ended if (open_at := places.get(x)) and (i := bisect.bisect(open_at, outside)) < len(open_at)]
+                    if inner:
+                        pop_to(min(inner))
                 node = stack[-1][1]
                 child = None
                 if node is not None:
-                    out, doubtful = _left_out(tag, attributes, articles > 0)
+                    out, doubtful = _left_out(tag, attributes, bool(places.get("#article")))
                     if not out:
                         child = Node(tag, node, doubtful)
                         node.items.append(child)
                 if tag in RAW:
-                    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at, max(at, last))
                     at = close.end() if close else end
                 elif not attributes.endswith("/") or tag not in ("path", "circle", "use", "rect"):
-                    stack.append((tag, child))
-                    articles += tag in ("article", "main")
-        match = TOKEN.search(source, at)
+                    push(tag, child)
+        # Behind the last ">" only comments and the like can begin.
+        match = TOKEN.search(source, at, last) if at < last else None
+        match = match or OPENING.search(source, max(at, last))
     text(source[at:])
     _prune(root)
     return root
@@ -240,7 +263,7 @@ def blocks(kept: list[Node | str]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            if x == "\n":
+            if x is BREAK:
                 flush()
             parts.append(x)
         else:
@@ -277,8 +300,8 @@ def main_text(source: str | None) -> str:
             kept.append(x)
         elif id(x) in on_path:
             if x is not root:
-                kept.append("\n")
-                todo.append(("\n", False))
+                kept.append(BREAK)
+                todo.append((BREAK, False))
             leads = _leads(x, on_path)
             todo.extend(reversed([(y, on_path[id(x)] <= inner or id(y) in leads) for y in _candidates(x, on_path)]))
         elif x.density >= least or x.tag not in BLOCKS or _prose(x) and (near or x.tag in HEADINGS):
@@ -308,7 +331,7 @@ def _candidates(node: Node, on_path: dict[int, int]) -> list[Node | str]:
         if isinstance(x, Node) and (x.tag in BLOCKS or id(x) in on_path):
             flush()
             out.append(x)
-        elif x == "\n":
+        elif x is BREAK:
             flush()
             out.append(x)
         else:

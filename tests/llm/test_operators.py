@@ -1,8 +1,10 @@
 """Small tests of each operator: brute force, round trips, and the defined results of odd inputs."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -341,6 +343,64 @@ def test_pages_in_doubtful_wrappers():
     assert words(f'<div><h1>one</h1>{text("one", 2)}</div><div id="comments">{text("two")}</div>') == {"one"}
 
 
+def test_pages_inline_and_siblings():
+    assert pages.main_text("<p><b>Hello</b>\n<i>world</i></p>") == "Hello world"
+    paragraph = "<p>" + "word " * 40 + "</p>"
+    assert pages.main_text(f"<article>{paragraph * 5}</article><article>{paragraph * 5}</article>").count("word") == 400
+    kept = pages.main_text(f"<article>{paragraph * 5}<blockquote class='share'>a quotation of some words</blockquote><p class='notice-of-intent'>what is intended</p><div class='ad'>buy</div></article>")
+    assert "a quotation of some words\nwhat is intended" in kept and "buy" not in kept
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50000 + "</p>" * 50000, "<a " * 100000, "<i><div>" + "<b>" * 50000 + "</i>" * 50000, "<ul>" + "<li><div>" * 40000, "<!--" * 100000, "<script>" + "</script " * 50000, "<div>" * 50000 + "<p>some words</p>" * 10000])
+def test_pages_in_linear_time(page):
+    start = time.process_time()
+    pages.main_text(page)
+    assert time.process_time() - start < 5
+
+
+def test_densities_by_definition():
+    """Counts and densities of random trees, from nested lists and the formula."""
+    rng = random.Random(3)
+
+    def make(depth):
+        tag = rng.choice(["div", "p", "span", "a"] if depth else ["div"])
+        if tag == "p":
+            return tag, ["w" * rng.randrange(1, 30)]
+        inner = [make(depth + 1) if depth < 4 and tag != "a" and rng.random() < 0.6 else "w" * rng.randrange(1, 30) for _ in range(rng.randrange(1, 5))]
+        return tag, inner
+
+    def source(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(source, node[1]))}</{node[0]}>"
+
+    def counts(node):
+        if isinstance(node, str):
+            return len(node), 0, 0, 0
+        parts = [(counts(x), not isinstance(x, str)) for x in node[1]]
+        c, t, lc, lt = (sum(p[i] for p, _ in parts) + (sum(e for _, e in parts) if i == 1 else 0) for i in range(4))
+        return (c, t, c, max(t, 1)) if node[0] == "a" else (c, t, lc, lt)
+
+    def density(node, ratio):
+        c, t, lc, lt = counts(node)
+        t = max(t, 1)
+        inner = c / max(lc, 1) * t / max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        log = math.log(max(inner, 1.0))
+        return c / t * (log / math.log(base) if base > 1.0000001 else log)
+
+    for _ in range(60):
+        tree = ("body", [make(0) for _ in range(3)])
+        root = pages.parse("".join(map(source, tree[1])))
+        pages.score(root)
+        ratio = counts(tree)[2] / counts(tree)[0]
+        todo = [(tree, root)]
+        while todo:
+            mine, node = todo.pop()
+            children = [x for x in mine[1] if not isinstance(x, str)]
+            assert node.tag == mine[0] and (node.chars, node.tags, node.link_chars, node.link_tags) == counts(mine)
+            assert math.isclose(node.total, sum(density(x, ratio) for x in children), abs_tol=1e-9)
+            todo += zip(children, [x for x in node.items if isinstance(x, pages.Node)], strict=True)
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     parts = ["under the MIT license", "Apache License, Version 2.0", "CC BY-NC", "under", "the", "cc by", "nc", "Ünder", ". ", "\n", "x"]
