@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import zlib
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, chat, jaccard, licenses, mixing, pages, tokenfile, topk, toxicity, vectors
-from helixframe.llm.arrow import add_columns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,18 +68,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = f.read()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     folder, files = tokenfile.write_tokens(docs, model, end_id=2)
-    read = tokenfile.read_tokens(spark, folder, files)
-    return add_columns(read, "n_tokens long, ids_crc32 long", _crc32, read.columns.index("ids")).drop("ids")
+    return tokenfile.read_tokens(spark, folder, files, ("ids_crc32", "long", _crc32))
 
 
-def _crc32(column: int):
-    def run(batch: pa.RecordBatch) -> list:
-        lists = batch.column(column)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        spans = list(zip(offsets[:-1], offsets[1:]))
-        return [[int(b - a) for a, b in spans], [zlib.crc32(flat[a:b].tobytes()) for a, b in spans]]
-
-    return run
+def _crc32(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

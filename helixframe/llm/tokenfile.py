@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +35,20 @@ LIMIT = 20
 BLOCK = 512
 #: About as many ids are put in one file.
 FILE_IDS = 4_000_000
-#: Words that a Python worker remembers.
-MEMO = 500_000
+#: Words of a generation that a Python worker remembers.
+MEMO = 250_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of which the normaliser changes nothing and the pre-tokeniser makes one token.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: A closing run of punctuation after such a word is a pre-token of its own.
+MARKS = frozenset(b"!#$%&()*+,-./:;=?@[]^_`{|}~\"\\")
 CLOSED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]+)")
 
 
 class WordTokens(dict):
-    """Encodes by words (bytes) between blanks, which the tokenizer never joins; remembers the ids of the first MEMO.
+    """Encodes by words (bytes) between blanks, which the tokenizer never joins; remembers the ids of recent words.
 
+    Two generations of MEMO words: a full one becomes the old one, from which words come back when they are met again.
     For a tokenizer that drops white space and lower-cases; its special tokens, which hold ``<|``, are left alone.
     """
 
@@ -53,19 +58,33 @@ class WordTokens(dict):
         self.pieces = self.tokenizer.model.tokenize
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if wide else "<u2")
+        self.code = "I" if wide else "H"
         self.bytes = dict(enumerate(byte_characters()))
+        self.old: dict[bytes, bytes] = {}
+        self.wide: set[bytes] = set()  # plain words beyond ASCII
 
     def __missing__(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        if PLAIN.fullmatch(word):
-            mapped = word if word.isascii() else raw.decode("latin-1").translate(self.bytes)
-            ids = np.array([t.id for t in self.pieces(mapped)], self.kind).tobytes()
-        elif parts := CLOSED.fullmatch(word):
-            return self[parts[1].encode()] + self[parts[2].encode()]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) < MEMO:
-            self[raw] = ids
+        if raw[-1] in MARKS and ((head := raw[:-1]).isalpha() or head in self.wide):
+            return self[head] + self[raw[-1:]]
+        ids = self.old.pop(raw, None)
+        if ids is None:
+            word = raw.decode()
+            if PLAIN.fullmatch(word):
+                mapped = word
+                if not raw.isascii():
+                    mapped = raw.decode("latin-1").translate(self.bytes)
+                    self.wide.add(raw)
+                found = [t.id for t in self.pieces(mapped)]
+            elif parts := CLOSED.fullmatch(word):
+                return self[parts[1].encode()] + self[parts[2].encode()]
+            else:
+                found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = array(self.code, found).tobytes() if sys.byteorder == "little" else np.array(found, self.kind).tobytes()
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.wide.intersection_update(self.old)
+            self.clear()
+        self[raw] = ids
         return ids
 
     def encode(self, raw: bytes | None) -> bytes:
@@ -201,97 +220,123 @@ def read_bytes(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if z else int(k) for k, z in zip(keys, nulls)], [flat[e - c : e] for c, e in zip(counts.astype(np.int64), ends)]
 
 
-def tokenise(docs: DataFrame, model: str, end_id: int) -> DataFrame:
-    """(doc_id, text) dealt into ranges of ids, nulls first: part, place in the part, doc_id, ids as bytes."""
+def tokenise(docs: DataFrame, model: str, end_id: int, size: int) -> DataFrame:
+    """(doc_id, text, tie) as doc_id, tie, serial, ids (bytes); and a row per task with ``counts``, pairs of id and frequency.
+
+    serial tells rows that are equal in all else apart, so that ranges of rows can part them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    by_id = F.col("doc_id").asc_nulls_first()
-    dealt = docs.repartitionByRange(partitions(docs.sparkSession), by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
+    names = ["doc_id", "tie", "serial", "ids", "counts"]
 
     def run(batches):
-        tokens, place, part = word_tokens(shared.value), 0, TaskContext.get().partitionId()
+        tokens = word_tokens(shared.value)
         end = np.array([end_id], tokens.kind).tobytes()
+        serial, counts = TaskContext.get().partitionId() << 40, np.zeros(size, np.int64)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-            ids = [tokens.encode(x) + end for x in texts]
+            ids = [tokens.encode(x) + end for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            counts += np.bincount(np.frombuffer(b"".join(ids), tokens.kind), minlength=size)
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n)), keys, pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "ids"])
-            place += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(serial, serial + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            serial += n
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())), pa.array([np.stack([used, counts[used]]).tobytes()], pa.binary())], names=names)
 
-    return dealt.mapInArrow(run, "part long, place long, doc_id long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, tie string, serial long, ids binary, counts binary")
 
 
-def count_tokens(tokenised: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
+def count_tokens(tokenised: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs over all documents. The result is as large as the vocabulary."""
 
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            for part in batch.column(0):
+                ids, n = np.frombuffer(part.as_buffer(), np.int64).reshape(2, -1)
+                counts[ids] += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokenised.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokenised.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark would take for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full)
+
+
 def write_tokens(docs: DataFrame, model: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
     """Write all documents' ids (each with ``end_id`` appended) as token files; the folder, and a row per file.
 
-    Documents are dealt to files by ranges of their ids, nulls first; rows with the same id stay together, in order of
-    their texts. A null or empty text has the end id only. An empty table gives no file. Files are written under a name
-    of the task's own and then renamed, so repeated tasks do no harm.
+    Texts are encoded where they lie; only ids are dealt to files, by ranges of the document ids, nulls first. Rows with
+    the same id follow one another in order of their texts (only theirs travel), and may go to several files. A null or empty text
+    has the end id only. An empty table gives no file. Files are written under a name of the task's own and then
+    renamed, so repeated tasks do no harm. A folder without a scheme lies on Spark's default file system.
     """
     spark = docs.sparkSession
     kind = WordTokens(model).kind
     size = max(Tokenizer.from_str(model).get_vocab_size(with_added_tokens=True), end_id + 1)
-    tokenised = materialize(tokenise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, end_id), "ids")
-    lengths = spark.sparkContext.broadcast(code_lengths(count_tokens(tokenised, kind, size)))
-    folder = folder or new_path(spark, "tokens")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = materialize(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"), F.lit(True).alias("is_again")), "repeated")
+    if repeated.isEmpty():
+        rows = rows.withColumn("tie", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").select("doc_id", "text", F.when(F.col("is_again"), F.col("text")).alias("tie"))
+    tokenised = materialize(tokenise(rows, model, end_id, size), "ids")
+    lengths = spark.sparkContext.broadcast(code_lengths(count_tokens(tokenised, size)))
+    folder = qualified(spark, folder or new_path(spark, "tokens"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first(), F.col("serial")]
+    dealt = tokenised.where("counts is null").select("doc_id", "tie", "serial", "ids").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches):
         store, root = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
         keys: list = []
         ids: list = []
-        at, waiting, following = None, 0, None
+        place = waiting = 0
 
         def flush():
-            name = f"part-{at[0]:07d}-{at[1]:010d}.hfx"
+            name = f"part-{part:07d}-{place:010d}.hfx"
             own = f"{root}/_{name}.{attempt}"
             with store.open_output_stream(own) as out:
                 out.write(write_bytes(keys, ids, lengths.value))
             store.move(own, f"{root}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in (*at, len(keys), waiting))], names=["file", "part", "place", "n_docs", "n_ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in (part, place, len(keys), waiting))], names=["file", "part", "place", "n_docs", "n_ids"])
             keys.clear()
             ids.clear()
             return row
 
         for batch in batches:
-            for part, place, key, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if keys and ((part, place) != following or waiting >= FILE_IDS):
+            for key, found in zip(batch.column(0).to_pylist(), batch.column(3)):
+                if waiting >= FILE_IDS:
                     yield flush()
-                if not keys:
-                    at, waiting = (part, place), 0
-                following = (part, place + 1)
+                    place, waiting = place + 1, 0
                 keys.append(key)
-                ids.append(np.frombuffer(found, kind))
+                ids.append(np.frombuffer(found.as_buffer(), kind))
                 waiting += len(ids[-1])
         if keys:
             yield flush()
 
-    written = materialize(tokenised.mapInArrow(run, "file string, part long, place long, n_docs long, n_ids long"), "token-files")
-    discard(tokenised)
+    written = materialize(dealt.mapInArrow(run, "file string, part long, place long, n_docs long, n_ids long"), "token-files")
+    for table in (tokenised, repeated):
+        discard(table)
     return folder, written
 
 
-def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Documents of the token files: doc_id, start, ids. ``start`` counts the ids of all documents before it."""
+def read_tokens(spark: SparkSession, folder: str, files: DataFrame, digest: tuple[str, str, Callable] | None = None) -> DataFrame:
+    """Documents of the token files: doc_id, start, n_tokens, ids. ``start`` counts the ids of all documents before it.
+
+    digest: name, SQL type and function of a column that stands for ``ids``; it is computed where the ids are decoded.
+    """
     order = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("file_start"))
+    column, ddl, function = digest or ("ids", "array<int>", None)
 
     def run(batches):
         for batch in batches:
@@ -303,11 +348,11 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
                 for at in range(0, len(keys), 500):
                     part = ids[at : at + 500]
                     inner = (offsets[at : at + len(part) + 1] - offsets[at]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(part).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(keys[at : at + 500], pa.int64()), pa.array(offsets[at : at + len(part)]), lists], names=["file", "doc_id", "within", "ids"])
+                    made = pa.array([function(x) for x in part]) if function else pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(part).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(keys[at : at + 500], pa.int64()), pa.array(offsets[at : at + len(part)]), pa.array(counts[at : at + 500]), made], names=["file", "doc_id", "within", "n_tokens", column])
 
     if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, ids array<int>")
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {column} {ddl}")
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.hfx").load(folder).select("path", "content")
-    decoded = content.mapInArrow(run, "file string, doc_id long, within long, ids array<int>")
-    return decoded.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "ids")
+    decoded = content.mapInArrow(run, f"file string, doc_id long, within long, n_tokens long, {column} {ddl}")
+    return decoded.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", column)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixframe.llm import bpe, chat, jaccard, licenses, mixing, pages, tokenfile, topk, toxicity, vectors
+from helixframe.llm import catalog as llm_catalog
 from helixframe.llm.words import shingle_sets, word_hashes
 from helixframe.plans.components import connected_components
 
@@ -288,6 +289,22 @@ def test_token_files(spark):
     assert tokenfile.read_tokens(spark, folder, files).count() == 0
 
 
+def test_token_query(spark, tmp_path):
+    """The registered query's columns, with many files, equal ids and a hot id."""
+    texts = ["one two three", "Some WORDS, and more.", "", None, "naïve façade ﬁn"]
+    rows = [(i % 70 if i % 3 else 4, texts[i % 5], "x") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, start string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in llm_catalog.QUERIES["op7_token_files"](spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = Tokenizer.from_str(f.read())
+    want, start = [], 0
+    for key, text, _ in sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode())):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_huffman():
     rng = np.random.default_rng(7)
     for size, limit in ((1, 20), (2, 20), (300, 20), (3000, 12)):
