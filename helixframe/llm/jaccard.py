@@ -1,14 +1,15 @@
 """N-gram Jaccard join: a blocked sparse matrix product of the document by n-gram incidence.
 
-1. Shingles that very many documents hold are counted and put last in the global order of shingles; the rest go by hash.
+1. Shingles that very many documents hold are put last in the global order of shingles; the rest go by hash. All that
+   stand in the first half of a set by hash are counted, in blocks of shingles.
 2. Two sets with Jaccard similarity of at least 3/4 share a shingle among the first floor(n / 4) + 1 of each, so only
    those columns of the incidence matrix are multiplied. They are dealt into blocks of columns; a block multiplies its
    part and reports each pair's overlap there. Equal sets are one row of the matrix.
 3. The overlaps of all blocks are added up. A pair whose overlap and largest possible rest stay below the bound that the
    sizes of its sets ask for is discarded; the others are compared in full.
-4. Columns that stay long even so (copies of one text in great numbers) are not multiplied pair by pair: the documents
-   that hold them are multiplied in full, in blocks of rows of similar size, and a block reports sums of links and a
-   spanning forest instead of its pairs.
+4. Columns that stay long even so (copies of one text in great numbers) are not multiplied pair by pair. Documents that
+   share long columns, directly or through others, make a group; each group is multiplied in full, in blocks of rows of
+   similar size, and a block reports sums of links and a spanning forest instead of its pairs.
 5. Links make components.
 """
 
@@ -26,7 +27,7 @@ from helixframe.llm.arrow import slices, trim
 from helixframe.llm.vectors import forest
 from helixframe.llm.words import mix, shingle_sets
 from helixframe.plans.components import connected_components
-from helixframe.plans.storage import discard, materialize
+from helixframe.plans.storage import discard, materialize, partitions
 
 U = np.uint64
 
@@ -34,7 +35,8 @@ U = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """width: words of a shingle. common: counted documents from which a shingle goes last; a higher power of two where
-    otherwise over ``common_most`` shingles would (their list is broadcast, 8 bytes each). long: documents from which a column is not
+    otherwise over ``common_most`` shingles would (their list is broadcast, 8 bytes each); chunk: shingles that a task
+    counts before they are dealt out. long: documents from which a column is not
     multiplied pair by pair. block: shingles of a block of columns. rows: documents of a block of rows."""
 
     width: int = 5
@@ -52,45 +54,60 @@ def flatten(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, U)), sizes
 
 
-def common_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the shingles that very many documents hold, and the number of shingles in all.
+def common_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
+    """Sorted hashes of the shingles that very many documents hold in the first half of their sets.
 
-    Each task counts within chunks and reports what occurs at least twice in one; the sums say which shingles are
-    common. They only set the order, which any choice leaves correct. The limit is raised by powers of two until at
-    most ``common_most`` shingles reach it.
+    Tasks combine what they count and deal it out by ranges of hashes; a range adds the counts up. They only set the
+    order, which any choice leaves correct. The limit is raised by powers of two until at most ``common_most`` shingles
+    reach it.
     """
+    parts = max(settings.least_blocks, partitions(docs.sparkSession))
 
     def run(batches):
-        waiting, size, total = [], 0, 0
+        waiting, size = [], 0
 
         def report():
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            often = counts >= 2
+            cuts = np.searchsorted(found >> U(32), (np.arange(parts + 1, dtype=np.uint64) << U(32)) // U(parts))
+            cuts[-1] = len(found)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([found[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary())], names=["part", "shingles", "counts"])
 
         for batch in batches:
             for texts in slices(batch.column(0).to_pylist()):
-                flat, _ = flatten(shingle_sets(texts, settings.width))
-                waiting.append(flat)
-                size, total = size + len(flat), total + len(flat)
+                waiting += [s[: len(s) // 2 + 1] for s in shingle_sets(texts, settings.width)]
+                size += sum(map(len, waiting[-len(texts) :]))
                 if size >= settings.chunk:
                     yield report()
                     size = 0
-        if size:
+        if waiting:
             yield report()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["shingle", "n"])
         trim()
 
-    counts = materialize(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("shingle").isNull() | (F.col("n") >= settings.common)), "counts")
-    total = counts.where("shingle is null").agg(F.sum("n")).first()[0] or 0
-    levels = counts.where("shingle is not null").groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
+    def add(table: pa.Table) -> pa.Table:
+        # Counts of a chunk are combined with those before, so a task holds one range of the counted shingles.
+        found, counts = np.zeros(0, U), np.zeros(0, np.int64)
+        for shingles, n in zip(table["shingles"], table["counts"]):
+            both = np.concatenate([found, np.frombuffer(shingles.as_buffer(), U)])
+            n = np.concatenate([counts, np.frombuffer(n.as_buffer(), np.int32)])
+            order = np.argsort(both, kind="stable")
+            both, n = both[order], n[order]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(len(both), 1), bool), both[1:] != both[:-1]]))
+            found, counts = both[starts], np.add.reduceat(n, starts) if len(starts) else np.zeros(0, np.int64)
+        often = counts >= settings.common
+        trim()
+        return pa.table({"shingle": found[often].view(np.int64), "n": counts[often]})
+
+    counts = docs.select("text").mapInArrow(run, "part long, shingles binary, counts binary").groupBy("part").applyInArrow(add, "shingle long, n long")
+    counts = materialize(counts, "counts")
+    levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
     least = settings.common
     while sum(r.n for r in levels if r.level >= least.bit_length() - 1) > settings.common_most:
         least *= 2
-    rows = counts.where(F.col("shingle").isNotNull() & (F.col("n") >= least)).select("shingle").toArrow()
+    rows = counts.where(F.col("n") >= least).select("shingle").toArrow()
     discard(counts)
-    return np.sort(np.asarray(rows.column(0)).view(U)), int(total)
+    return np.sort(np.asarray(rows.column(0)).view(U))
 
 
 def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -177,7 +194,8 @@ def prefix_blocks(docs: DataFrame, common: np.ndarray, blocks: int, settings: Se
 
 
 def multiply_block(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, marks: np.ndarray, counts: np.ndarray, settings: Settings) -> pa.Table:
-    """One block of columns: overlaps of pairs there, and (b null) the documents that hold a long column.
+    """One block of columns: overlaps of pairs there, and (b null, overlap a document of the same group) the documents
+    that hold a long column.
 
     tokens: the shingles of all documents one after another; ids, sizes, marks, counts: per document.
     """
@@ -193,7 +211,7 @@ def multiply_block(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, marks
     tokens, rows = tokens[order], rows[order]
     cuts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]]) if len(tokens) else np.zeros(1, np.int64)
     length = np.diff(cuts)
-    long = np.unique(rows[np.repeat(length > settings.long, length)])
+    long, root = long_groups(rows, cuts[:-1], length, settings.long, len(ids))
     shared = np.repeat((length > 1) & (length <= settings.long), length)
     tokens, rows = tokens[shared], rows[shared]
     found, overlaps = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -229,10 +247,28 @@ def multiply_block(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, marks
         "b": pa.array(np.concatenate([ids[b], pad]), mask=none),
         "na": np.concatenate([sizes[a], sizes[long]]),
         "nb": np.concatenate([sizes[b], pad]),
-        "overlap": np.concatenate([overlaps, pad]),
+        "overlap": np.concatenate([overlaps, ids[root]]),
     })
 
 
+def long_groups(rows: np.ndarray, starts: np.ndarray, length: np.ndarray, most: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents (numbers below n) of columns with over ``most`` rows, and the first one that such columns reach."""
+    long = length > most
+    rows, length = rows[np.repeat(long, length)], length[long]
+    label = np.arange(n)
+    if len(rows):
+        starts = np.concatenate([[0], np.cumsum(length)[:-1]])
+        while True:
+            new = label.copy()
+            np.minimum.at(new, rows, np.repeat(np.minimum.reduceat(label[rows], starts), length))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+    members = np.unique(rows)
+    return members, label[members]
+
+
 def multiply_rows(sets: list[np.ndarray], sides: np.ndarray, cross: bool) -> np.ndarray:
     """Which documents of a block of rows are linked, by their whole sets. cross: only between the two sides."""
     flat, sizes = flatten(sets)
@@ -271,27 +307,31 @@ def _rest(n: Column) -> Column:
 
 
 def _row_blocks(hot: DataFrame, settings: Settings) -> DataFrame:
-    """(id, size, set, n) with a key for each block pair of rows to compare: only sets whose sizes are at least as 3 to 4.
+    """(id, size, side) with a key for each block pair of a group's rows to compare: sets whose sizes are as 3 to 4 or nearer.
 
-    Size classes are powers of 4/3, so partners are of the same or the next class; there are some hundred at most.
+    A group of few rows is one block. Else size classes are powers of 4/3, so partners are of the same or the next
+    class, and classes (some hundred at most) are cut into blocks.
     """
     graded = hot.withColumn("grade", F.floor(F.log("n") / math.log(4 / 3)).cast("int"))
-    counts = {r.grade: -(-r.n // settings.rows) for r in graded.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, int(n))])
-    graded = graded.withColumn("own", F.pmod(F.xxhash64("id"), blocks[F.col("grade")]).cast("int"))
+    counts = graded.groupBy("group", "grade").agg(F.count("*").alias("n"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("grade", F.ceil(F.col("n") / settings.rows).cast("int").alias("blocks"))))
+    counts = materialize(counts.groupBy("group").agg(F.sum("n").alias("total"), blocks.alias("blocks")), "row-blocks")
+    few = F.col("total") <= settings.rows
+    graded = graded.join(counts, "group").withColumn("grade", F.when(few, 0).otherwise(F.col("grade"))).withColumn("blocks", F.when(few, F.create_map(F.lit(0), F.lit(1))).otherwise(F.col("blocks")))
+    grade, own = F.col("grade"), F.col("own")
+    graded = graded.withColumn("own", F.pmod(F.xxhash64("id"), F.try_element_at("blocks", grade)).cast("int"))
 
     def others(grade: Column) -> Column:
-        n = F.coalesce(F.try_element_at(blocks, grade), F.lit(0))
+        n = F.coalesce(F.try_element_at(F.col("blocks"), grade), F.lit(0))
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    grade, own = F.col("grade"), F.col("own")
-    key = lambda g, h, i, j: F.struct(g.alias("g"), h.alias("h"), i.alias("i"), j.alias("j"))
+    key = lambda g, h, i, j: F.struct(F.col("group"), g.alias("g"), h.alias("h"), i.alias("i"), j.alias("j"))
     keys = F.concat(
         F.transform(others(grade), lambda o: key(grade, grade, F.least(own, o), F.greatest(own, o))),
         F.transform(others(grade + 1), lambda o: key(grade, grade + 1, own, o)),
         F.transform(others(grade - 1), lambda o: key(grade - 1, grade, o, own)),
     )
-    return graded.withColumn("cell", F.explode(keys)).withColumn("side", (grade * 1_000_000 + own).cast("long"))
+    return graded.select("id", "size", (grade * 1_000_000 + own).cast("long").alias("side"), F.explode(keys).alias("cell"))
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -309,7 +349,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sign = materialize(signatures(rows, settings), "signatures")
     named = rows.where("doc_id is not null")
     classes = materialize(sign.where("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    common, total = common_shingles(named, settings)
+    total = sign.where("doc_id is not null").agg(F.sum("n")).first()[0] or 0
+    common = common_shingles(named, settings)
     blocks = max(settings.least_blocks, -(-total // (4 * settings.block)))
 
     def product(table: pa.Table) -> pa.Table:
@@ -321,12 +362,17 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     schema = "a long, b long, na long, nb long, overlap long"
     found = materialize(prefix_blocks(named, common, blocks, settings).groupBy("block").applyInArrow(product, schema), "overlaps")
-    hot = materialize(found.where("b is null").select(F.col("a").alias("id")).distinct(), "long-rows")
+    edges = materialize(found.where("b is null").select(F.col("a").alias("id"), F.col("overlap").alias("root")).distinct(), "long-rows")
+    heads = connected_components(edges, "id", "root")
+    hot = edges.select("id").distinct().join(heads, F.col("id") == F.col("node"), "left")
+    hot = materialize(hot.select("id", F.coalesce("component", "id").alias("group")), "hot")
     added = found.where("b is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     large = added.where(7 * (F.col("overlap") + F.greatest(_rest(F.col("na")), _rest(F.col("nb")))) >= 3 * (F.col("na") + F.col("nb")))
-    one, two = hot.select(F.col("id").alias("ia")), hot.select(F.col("id").alias("ib"))
+    one, two = (hot.select(F.col("id").alias(f"i{x}"), F.col("group").alias(f"g{x}")) for x in "ab")
     pairs = large.join(one, F.col("a") == F.col("ia"), "left").join(two, F.col("b") == F.col("ib"), "left")
-    pairs = materialize(pairs.where("ia is null or ib is null").select("a", "b"), "pairs")
+    pairs = materialize(pairs.where("ga is null or gb is null or ga <> gb").select("a", "b"), "pairs")
+    discard(edges)
+    discard(heads)
     discard(found)
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(hot.select(F.col("id").alias("doc_id"))).distinct()
@@ -355,6 +401,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
     links = materialize(with_both.mapInArrow(check, "a long, b long"), "links")
+    discard(pairs)
+    discard(wanted)
 
     def rows_product(table: pa.Table) -> pa.Table:
         cell = table["cell"][0].as_py()
@@ -367,15 +415,21 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         none = np.arange(len(counted) + len(away)) < len(counted)
         return pa.table({"id": np.concatenate([ids[counted], ids[away]]), "links": np.concatenate([sums[counted], np.zeros(len(away), np.int64)]), "to": pa.array(np.concatenate([np.zeros(len(counted), np.int64), ids[root[away]]]), mask=none)})
 
-    sized = hot.join(sets, "id").join(classes.select(F.col("rep").alias("id"), "size"), "id")
-    near = materialize(_row_blocks(sized, settings).select("cell", "id", "side", "size", "set").groupBy("cell").applyInArrow(rows_product, "id long, links long, to long"), "row-links") if not hot.isEmpty() else spark.createDataFrame([], "id long, links long, to long")
+    near = spark.createDataFrame([], "id long, links long, to long")
+    if not hot.isEmpty():
+        sized = hot.join(classes.select(F.col("rep").alias("id"), "n", "size"), "id")
+        cells = _row_blocks(sized, settings).join(sets.select("id", "set"), "id").select("cell", "id", "side", "size", "set")
+        near = materialize(cells.groupBy("cell").applyInArrow(rows_product, "id long, links long, to long"), "row-links")
     discard(sets)
+    discard(hot)
     groups = connected_components(links.unionByName(near.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))))
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("rep")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("rep")))
     sums = ends.join(classes.select("rep", "size"), "rep").select("id", F.col("size").alias("links")).unionByName(near.select("id", "links"))
     sums = sums.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(sums, classes.rep == sums.id, "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = materialize(known.select("n", "one", "two", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "jaccard-groups")
+    for table in (links, near, groups, classes):
+        discard(table)
     good = sign.where("n > 0 and doc_id is not null").join(known, ["n", "one", "two"])
     bad = sign.where("n = 0 or doc_id is null")
     return good.select("doc_id", "n", "component_id", "n_links").unionByName(bad.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -93,6 +93,24 @@ def test_jaccard(spark, settings):
         assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), roots[i], degree[i])
 
 
+def test_jaccard_of_many_groups(spark):
+    """Unrelated groups of near copies: all links, and no row meets rows of other groups."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        for _ in range(rng.choice([2, 6, 12])):
+            rows.append((len(rows), " ".join(f"x{rng.randrange(5000)}" if rng.random() < 0.02 else w for w in base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.jaccard_join(docs, settings=jaccard.Settings(common=1 << 20, long=3, rows=8, least_blocks=3)).collect()}
+    sets, links = brute_jaccard(rows)
+    roots = reachable(sets, links)
+    assert all(got[i].component_id == roots[i] for i in sets) and sum(r.n_links for r in got.values()) == 2 * len(links)
+    hot = spark.createDataFrame([(i, i // 10, 50, 1) for i in range(400)], "id long, group long, n long, size long")
+    cells = jaccard._row_blocks(hot, jaccard.Settings(rows=10))
+    assert cells.count() == 400 and cells.groupBy("cell").count().count() == 40
+
+
 def test_jaccard_odd(spark):
     out = jaccard.jaccard_join(spark.createDataFrame(ODD, DOCS)).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.n_links) for r in out) == [(-1, 2, None, 0), (1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (4, 1, 4, 1), (4, 1, 4, 1), (5, 1, 5, 0)]
