@@ -42,4 +42,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found._helixframe_path = now._helixframe_path  # for discard()
+    return found
