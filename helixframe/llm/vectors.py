@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.llm.words import mix
 from helixframe.plans.components import connected_components
@@ -26,12 +27,14 @@ U = np.uint64
 @dataclass(frozen=True)
 class Tables:
     """At a cosine of 0.93 (distance 0.374) one projection agrees with probability 0.85, a table with 0.27, and one of
-    16 tables with 0.994; at 0.96 with 0.9996. Orthogonal vectors share a table's bucket with probability 0.003."""
+    16 tables with 0.994; at 0.96 with 0.9996. block: vectors of a block of a large bucket; shelf: vectors of small
+    buckets that are compared in one call. Orthogonal vectors share a table's bucket with probability 0.003."""
 
     tables: int = 16
     projections: int = 8
     width: float = 2.0
     block: int = 500
+    shelf: int = 10_000
     seed: int = 5
 
 
@@ -48,6 +51,12 @@ def bucket_hashes(vectors: np.ndarray, labels: np.ndarray, settings: Tables) ->
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; none of ``x`` is zero."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Lists of equal length as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,7 +83,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     Rows are linked when their labels are equal and not null and their cosine is found to be at least ``least_cosine``.
     Null or empty vectors, zero vectors and vectors with null or non-finite components link with nothing, nor do vectors
-    of different lengths. Rows with equal vectors and labels are linked. An unlinked row is its own component. Extra
+    of different lengths. Rows with equal vectors and labels are linked, also where they have equal ids; rows with equal
+    ids and other vectors are compared like any rows, and as nodes of the graph they are one (n_links may then differ
+    between them). An unlinked row is its own component. Extra
     columns are not looked at. An empty table gives an empty table.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
@@ -83,57 +94,72 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = rows.withColumn("ok", ok)
     classes = materialize(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
 
+    # The components travel as they are where they are single-precision numbers, and are normalised again where they meet.
+    kind = np.dtype("<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8")
+
     def run(batches):
         for batch in batches:
             sizes = np.asarray(pc.list_value_length(batch.column("v")))
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
                 x = matrix(part.column("v"))
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                buckets = bucket_hashes(x, np.asarray(part.column("label")), settings)
+                buckets = bucket_hashes(unit(x), np.asarray(part.column("label")), settings).view(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), settings.tables).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(d)).cast(pa.list_(pa.float64())), pa.FixedSizeListArray.from_arrays(pa.array(buckets.view(np.int64).ravel()), settings.tables).cast(pa.list_(pa.int64()))],
-                    names=["rep", "n", "v", "buckets"],
+                    [part.column("rep"), part.column("n"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), lists, pa.array([r.tobytes() for r in buckets], pa.binary())],
+                    names=["rep", "n", "v", "buckets", "marks"],
                 )
 
-    hashed = materialize(classes.select("rep", "n", "label", "v").mapInArrow(run, "rep long, n long, v array<double>, buckets array<long>"), "hashed")
+    hashed = materialize(classes.select("rep", "n", "label", "v").mapInArrow(run, "rep long, n long, v binary, buckets array<long>, marks binary"), "hashed")
     places = hashed.select("rep", F.posexplode("buckets").alias("t", "bucket"))
     counted = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = materialize(counted.select("bucket", F.ceil(F.col("size") / settings.block).cast("int").alias("blocks")), "buckets")
+    sizes = materialize(counted.select("bucket", F.ceil(F.col("size") / settings.block).cast("int").alias("blocks"), "size"), "buckets")
+    shelves = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("size")).first()[0] or 0) // settings.shelf))
     own = places.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "t", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cells = dealt.join(hashed, "rep").select("rep", "n", "v", "buckets", "t", "bucket", "own", "i", "j")
+    # Buckets of one block share shelves; each pair of blocks of a larger bucket has its own.
+    shelf = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("bucket"), F.lit(shelves)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    shelf = shelf.otherwise(F.struct(F.col("bucket").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    dealt = dealt.select("rep", "t", "bucket", "own", shelf.alias("shelf"))
+    cells = dealt.join(hashed.select("rep", "n", "v", "marks"), "rep").select("rep", "n", "v", "marks", "t", "bucket", "own", "shelf")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, n = np.asarray(table["rep"]), np.asarray(table["n"])
-        own, t = np.asarray(table["own"]), int(table["t"][0].as_py())
-        x, buckets = matrix(table["v"]), matrix_of_longs(table["buckets"])
-        near = x @ x.T >= least_cosine
-        np.fill_diagonal(near, False)
-        if table["i"][0].as_py() != table["j"][0].as_py():
-            near &= own[:, None] != own[None, :]
-        root = forest(near)
-        for earlier in range(t):
-            near &= buckets[:, None, earlier] != buckets[None, :, earlier]
-        links = near @ n
-        away = np.flatnonzero(root != np.arange(len(root)))
+        """Links and forests of the buckets of a shelf, or of the vectors of two blocks of one bucket."""
+        order = np.argsort(np.asarray(table["bucket"]), kind="stable")
+        ids, n, own, t, bucket = (np.asarray(table[c])[order] for c in ("rep", "n", "own", "t", "bucket"))
+        marks = np.frombuffer(b"".join(table["marks"].take(pa.array(order)).to_pylist()), np.int64).reshape(len(ids), -1)
+        raw = table["v"].take(pa.array(order)).to_pylist()
+        shelf = table["shelf"][0].as_py()
+        links, edges = np.zeros(len(ids), np.int64), []
+        edge = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *edge], [*edge, len(ids)]):
+            x = unit(np.frombuffer(b"".join(raw[a:b]), kind).reshape(b - a, -1).astype(np.float64))
+            near = x @ x.T >= least_cosine
+            np.fill_diagonal(near, False)
+            if shelf["i"] != shelf["j"]:
+                near &= own[a:b, None] != own[None, a:b]
+            if not near.any():
+                continue
+            root = forest(near)
+            away = np.flatnonzero(root != np.arange(b - a))
+            edges.append(np.stack([ids[a + away], ids[a + root[away]]]))
+            p, q = np.nonzero(near)
+            first = (marks[a + p, : t[a]] != marks[a + q, : t[a]]).all(axis=1)
+            links[a:b] += np.bincount(p[first], n[a + q[first]], b - a).astype(np.int64)
         counted = np.flatnonzero(links)
-        return pa.table({"id": np.concatenate([ids[counted], ids[away]]), "links": np.concatenate([links[counted], np.zeros(len(away), np.int64)]), "to": pa.array(np.concatenate([np.zeros(len(counted), np.int64), ids[root[away]]]), mask=np.arange(len(counted) + len(away)) < len(counted))})
+        away, to = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+        return pa.table({"id": np.concatenate([ids[counted], away]), "links": np.concatenate([links[counted], np.zeros(len(away), np.int64)]), "to": pa.array(np.concatenate([np.zeros(len(counted), np.int64), to]), mask=np.arange(len(counted) + len(away)) < len(counted))})
 
-    found = materialize(cells.groupBy("bucket", "i", "j").applyInArrow(compare, "id long, links long, to long"), "links")
+    found = materialize(cells.groupBy("shelf").applyInArrow(compare, "id long, links long, to long"), "links")
     for table in (sizes, hashed):
         discard(table)
     groups = connected_components(found.where("to is not null"), "id", "to")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(links, classes.rep == links.id, "left").join(groups, F.col("rep") == F.col("node"), "left")
     known = materialize(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-groups")
+    for table in (classes, found, groups):
+        discard(table)
     good = rows.where("ok").join(known, ["label", "v"]).select("id", "n_links", "component_id")
     bad = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(bad).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
-
-def matrix_of_longs(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    return column.flatten().to_numpy().reshape(len(column), -1)
