@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.arrow import add_columns, slices, trim
 from helixframe.llm.words import word_hashes
+from helixframe.plans.storage import discard, materialize
 
 BITS = 20
 
@@ -28,8 +29,9 @@ BITS = 20
 class Settings:
     """positives, unlabelled: bounds of the training sample, taken in order of a hash of the id.
 
-    features, apart: hashed words kept, those whose shares of texts differ most and by so many standard errors. prior: share of toxic texts; None: that of
-    the labelled training rows.
+    features, apart: hashed words kept, those whose shares of texts differ most and by so many standard errors; the share
+    of unlabelled texts is that of all documents that training may use. prior: share of toxic texts; None: that of the
+    labelled training rows.
     """
 
     positives: int = 4000
@@ -77,17 +79,23 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: Settings = Settings()) -> Model:
+def choose(positive: np.ndarray, n_p: int, unlabelled: np.ndarray, n_u: int, settings: Settings = Settings()) -> np.ndarray:
+    """The hashed words to learn weights for, from the numbers of texts that hold each word."""
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64)
+    pooled = (positive + unlabelled) / (n_p + n_u)
+    apart = np.abs(positive / n_p - unlabelled / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
+    chosen = np.argsort(-apart, kind="stable")[: settings.features]
+    return chosen[(positive + unlabelled > 1)[chosen] & (apart[chosen] >= settings.apart)]
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: Settings = Settings(), chosen: np.ndarray | None = None) -> Model:
     """positive, unlabelled: the hashed words of each text. Without positives all scores are near the prior's floor."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), -5.0, settings.threshold)
     n_p, n_u = len(positive), len(unlabelled)
-    share = [np.bincount(np.concatenate(x), minlength=1 << BITS) / len(x) for x in (positive, unlabelled)]
-    seen = share[0] * n_p + share[1] * n_u
-    pooled = seen / (n_p + n_u)
-    apart = np.abs(share[0] - share[1]) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
-    chosen = np.argsort(-apart, kind="stable")[: settings.features]
-    chosen = chosen[(seen[chosen] > 1) & (apart[chosen] >= settings.apart)]
+    if chosen is None:
+        chosen = choose(*(f(x) for x in (positive, unlabelled) for f in (lambda x: np.bincount(np.concatenate(x), minlength=1 << BITS), len)), settings)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     texts = [*positive, *unlabelled]
@@ -123,35 +131,63 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on at most ``positives`` toxic rows of ``labels`` (doc_id, toxic) and ``unlabelled`` rows of ``docs``.
 
-    Held-out rows are never used. The rows are the first ones in order of a hash of their ids, so reruns agree. Only
-    ids are sorted for that; the words of the chosen texts, bounded by the settings, go to the driver. Null labels and
-    ids take no part; without positives nothing is scored toxic.
+    Held-out rows are never used. The rows are the first ones in order of a hash of their ids, so reruns agree; of rows
+    with equal ids one counts. Words are chosen by the sample's toxic texts and by all documents that are not held out,
+    whose word counts (a table of fixed size) are added up. Only ids are sorted for the sample; its texts are written, and
+    what goes to the driver is the chosen words of each, at most ``features``. Null labels and ids take no part; without
+    positives nothing is scored toxic.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     prior = settings.prior
     if prior is None:
         prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.1
     toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.positives)
-    others = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.unlabelled)
-    sample = toxic.select("doc_id", F.lit(1).alias("p")).unionByName(others.select("doc_id", F.lit(0).alias("p")))
-    sample = sample.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
+    others = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.unlabelled)
+    ids = toxic.select("doc_id", F.lit(1).alias("p")).unionByName(others.select("doc_id", F.lit(0).alias("p")))
+    ids = ids.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))  # at most as many rows as the settings say
+    chosen_docs = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "p", "u").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = materialize(chosen_docs, "training")
+
+    def word_counts(table: DataFrame) -> tuple[np.ndarray, int]:
+        """How many texts hold each hashed word, and the number of texts."""
+
+        def run(batches):
+            counts = np.zeros((1 << BITS) + 1, np.int64)
+            for batch in batches:
+                for texts in slices(batch.column(0).to_pylist()):
+                    counts[:-1] += np.bincount(features(texts)[1], minlength=1 << BITS)
+                    counts[-1] += len(texts)
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["word", "n"])
+            trim()
+
+        rows = table.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((1 << BITS) + 1, np.int64)
+        counts[np.asarray(rows.column("word"))] = np.asarray(rows.column("n"))
+        return counts[:-1], int(counts[-1])
+
+    chosen = choose(*word_counts(sample.where("p = 1")), *word_counts(docs), settings)
+    is_chosen = np.zeros(1 << BITS, bool)
+    is_chosen[chosen] = True
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows, words = features(part.column(3).to_pylist())
+                kept = is_chosen[words]
+                rows, words = rows[kept], words[kept]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["doc_id", "p", "u", "words"])
         trim()
 
-    chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "p", "u", "text")
-    rows = chosen.mapInArrow(run, "doc_id long, p int, u int, words array<int>").toArrow().sort_by("doc_id")
+    rows = sample.select("doc_id", "p", "u", "text").mapInArrow(run, "doc_id long, p int, u int, words array<int>").toArrow().sort_by("doc_id")
+    discard(sample)
     words = [np.asarray(x.values) for x in rows.column("words")]
     is_p, is_u = rows.column("p").to_pylist(), rows.column("u").to_pylist()
-    return train([w for w, p in zip(words, is_p) if p == 1], [w for w, u in zip(words, is_u) if u == 0], min(max(prior, 1e-3), 0.9), settings)
+    return train([w for w, p in zip(words, is_p) if p == 1], [w for w, u in zip(words, is_u) if u == 0], min(max(prior, 1e-3), 0.9), settings, chosen)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -450,6 +450,10 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
     assert got[901].labels == "apache-2.0,gpl-2.0-only,mit" and got[901].permissive is True
     assert licenses.evaluate("mit and (gpl-3.0 or bsl-1.0) rest") == (["mit", "gpl-3.0", "bsl-1.0"], True)
+    assert got[901].exceptions == "llvm-exception"
+    df = spark.createDataFrame([(1, "The SPDX-License-Identifier is a tag", "a"), (2, "SPDX-License-Identifier: see LICENSE", "b"), (3, "SPDX-License-Identifier: MIT. Then", "c"), (4, "SPDX-License-Identifier: MIT and " * 30000, "d")], "doc_id long, text string, labels string")
+    assert [r.labels for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == ["", "", "mit", "mit"]  # clashing name, in linear time
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
     assert licenses.evaluate("mit and gpl-3.0")[1] is False and licenses.evaluate(") x") is None
 
 
@@ -472,6 +476,11 @@ def test_toxicity(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
     held = [r for r in out if r.held_out and r.doc_id < 9000]
     assert sum(r.predicted == int(r.doc_id % 8 == 0) for r in held) / len(held) > 0.97
+    again = df.select("*", F.lit(0.5).alias("score"), F.lit("x").alias("predicted"))  # clashing names, repeated ids, a long text
+    again = again.unionByName(again.limit(50)).unionByName(again.where("doc_id = 8").withColumn("text", F.repeat(F.lit("dolt word "), 200_000)))
+    other = toxicity.score(again, toxicity.fit(again, marks.unionByName(marks)))
+    assert other.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "score", "predicted"] and other.count() == again.count()
+    assert other.where("predicted = 1").count() > 250
     empty = toxicity.fit(df.limit(0), marks.limit(0))
     assert [r.predicted for r in toxicity.score(df.limit(3), empty).collect()] == [0, 0, 0]
 
