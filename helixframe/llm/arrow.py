@@ -19,6 +19,17 @@ def trim() -> None:
         pass
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(items: list, size: int = 500) -> Iterator[list]:
     """Parts of a batch, for functions whose arrays are many times as large as their texts."""
     for at in range(0, len(items), size):

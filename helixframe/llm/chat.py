@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.arrow import free_names
+
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 
 
@@ -157,18 +159,28 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE))), "")
 
 
+#: Turns whose lengths are summed up in one go; sums over groups of turns keep long conversations from quadratic work.
+TOGETHER = 256
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the lengths before each one, and of all at the end."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(lengths, start, lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+
 def loss_spans(turns: Column) -> Column:
     """Start (from 0) and length, in code points of the formatted string, of each text of the assistant."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
+    sized = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("mine"), (F.length(escape(t["role"])) + len(OPEN) + len(MIDDLE)).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("body")))
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(turns) / TOGETHER).cast("int")), lambda k: F.slice(sized, k * TOGETHER + 1, TOGETHER))
+    inner = F.transform(groups, lambda g: F.struct(g.alias("turns"), _running(F.transform(g, lambda t: t["head"] + t["body"] + len(CLOSE))).alias("sums")))
+    offsets = _running(F.transform(inner, lambda g: F.element_at(g["sums"], -1)))
 
-    def step(acc: Column, t: Column) -> Column:
-        head = F.lit(len(OPEN) + len(MIDDLE)) + F.length(escape(t["role"]))
-        body = F.length(escape(t["text"])).cast("long")
-        begin = acc["at"] + head
-        span = F.array(F.struct(begin.alias("start"), body.alias("length")))
-        return F.struct((begin + body + len(CLOSE)).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(g: Column, at: Column) -> Column:
+        places = F.transform(g["turns"], lambda t, i: F.struct(t["mine"].alias("mine"), (at + F.get(g["sums"], i) + t["head"]).alias("start"), t["body"].alias("length")))
+        return F.transform(F.filter(places, lambda p: p["mine"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
 
-    return F.aggregate(turns, start, step)["spans"]
+    return F.flatten(F.transform(inner, lambda g, k: spans(g, F.get(offsets, k))))
 
 
 def read_back(formatted: Column) -> Column:
@@ -201,9 +213,11 @@ def format_records(df: DataFrame, record_col: str, layouts: tuple[Layout, ...] =
         record = F.try_parse_json(record)
     elif kind != "variant":
         record = F.to_variant_object(record)
-    marked = df.withColumn("_chat_record", record).withColumn("layout_hash", fingerprint(F.col("_chat_record"), layouts))
-    turns = marked.withColumn("_chat_turns", canonical_turns(F.col("_chat_record"), F.col("layout_hash"), layouts))
-    return turns.withColumn("formatted", render(F.col("_chat_turns"))).withColumn("loss_spans", loss_spans(F.col("_chat_turns"))).drop("_chat_record", "_chat_turns")
+    parsed, mark, said = free_names(df, "_chat_record", "_chat_mark", "_chat_turns")
+    marked = df.withColumn(parsed, record).withColumn(mark, fingerprint(F.col(parsed), layouts))
+    turns = marked.withColumn(said, canonical_turns(F.col(parsed), F.col(mark), layouts))
+    out = turns.withColumn("layout_hash", F.col(mark)).withColumn("formatted", render(F.col(said))).withColumn("loss_spans", loss_spans(F.col(said)))
+    return out.drop(parsed, mark, said)
 
 
 def unmapped_counts(formatted: DataFrame) -> DataFrame:
@@ -212,8 +226,11 @@ def unmapped_counts(formatted: DataFrame) -> DataFrame:
 
 
 def collect_records(rows: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) as one record per conversation, in order of turn, role and text."""
-    turn = F.struct("turn", _blank(F.col("role")).alias("role"), _blank(F.col("text")).alias("text"))
+    """Rows by turn (conv_id, turn, role, text) as one record per conversation, in order of turn (null last), role and text.
+
+    Rows without a conv_id are one conversation. An empty table gives an empty table.
+    """
+    turn = F.struct(F.col("turn").isNull().alias("late"), "turn", _blank(F.col("role")).alias("role"), _blank(F.col("text")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return grouped.select("conv_id", F.struct(messages.alias("messages")).alias("record"))

@@ -163,6 +163,23 @@ def test_chat_table(spark):
     assert [tuple(t) for t in out[3].turns] == [("assistant", "\\<s>\\")]
 
 
+def test_chat_long_conversations_and_names(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i} </s>") for i in range(1500)] + [(2, None, "user", "last"), (2, 0, "assistant", "first"), (None, 0, "user", "x")]
+    records = chat.collect_records(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    named = records.select("conv_id", "record", F.lit(1).alias("_chat_record"), F.lit(2).alias("_chat_turns"), F.lit("z").alias("formatted"))
+    out = chat.format_records(named, "record").withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert got[1].loss == "".join(t for _, _, role, t in rows[:1500] if role == "assistant") and len(got[1].turns) == 1500
+    assert [t.text for t in got[2].turns] == ["first", "last"] and (got[1]["_chat_record"], got[1]["_chat_turns"]) == (1, 2) and None in got
+
+
+def test_mixing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s" if i % 2 else None, i, i) for i in range(40)], "doc_id long, text string, source string, _mix_target long, _mix_copy long")
+    plan = mixing.mixing_plan(df)
+    assert plan.columns == [*df.columns, "mix"] and plan.where("_mix_target <> doc_id").count() == 0
+    assert mixing.mix_sources(df).columns == df.columns and mixing.mix_sources(df).where("_mix_copy <> doc_id").count() == 0
+
+
 def test_chat_random_texts(spark):
     rng = random.Random(2)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", " [/INST] ", "\\", "<", "[", "/", "s>", "INST]", "é", "\n", " ", "a", "😀"]
