@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm.arrow import free_names
 from helixframe.plans.storage import materialize
 
 #: Source tables up to this many rows (some tens of bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -57,23 +58,30 @@ def mixing_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last in the order. Rows with the same id draw the same number. A null id draws like an empty one. An input column
     called ``mix`` is replaced. An empty table gives an empty table.
     """
+    (found,) = free_names(docs, "_mix_target")
     sized = docs.withColumn("mix", F.struct(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source")))
     totals = sized.groupBy(F.col("mix.source").alias("source")).agg(F.sum("mix.size").alias("source_size"))
     targets = materialize(source_targets(totals, weights, share, cap), "targets")
-    targets = targets.select(F.struct(*targets.columns).alias("_mix_target"))
+    targets = targets.select(F.struct(*targets.columns).alias(found))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col("mix.source").eqNullSafe(F.col("_mix_target.source")), "left")
-    target, total = F.col("_mix_target.target"), F.col("_mix_target.source_size")
+    joined = sized.join(targets, F.col("mix.source").eqNullSafe(F.col(f"{found}.source")), "left")
+    target, total = F.col(f"{found}.target"), F.col(f"{found}.source_size")
     rate = F.when(total > 0, target / total).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + F.when(uniform(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
     mix = F.struct(F.col("mix.size").alias("size"), total.alias("source_size"), target.alias("target"), rate.alias("rate"), copies.cast("long").alias("copies"))
-    return joined.withColumn("mix", mix).drop("_mix_target")
+    return joined.withColumn("mix", mix).drop(found)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as :func:`mixing_plan` says, with the columns of ``docs``."""
-    plan = mixing_plan(docs, **options)
-    numbered = plan.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))))
-    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixing_plan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(docs, options)), **_KEYS, **{k: v for k, v in options.items() if k not in _KEYS})
+    return plan.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select("row.*")
+
+
+_KEYS = {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
+
+
+def _keys(docs: DataFrame, options: dict) -> list[Column]:
+    return [F.col(f"`{options.get(k, name)}`").alias(name) for k, name in _KEYS.items()]
