@@ -326,7 +326,10 @@ def fixed_width_parse(spark, sf_dir):
     return atoms.select(F.col("serial").cast("long").alias("serial"), "residue_number", "x", "y", "z")
 
 
-@query("""SELECT l_orderkey, l_linenumber, concat('ATOM  ', lpad(CAST(l_orderkey AS VARCHAR), 5, ' '), '  P   ', lpad('A', 3, ' '), ' A', lpad(CAST(l_linenumber AS VARCHAR), 4, ' '), '    ',
+_BASE36 = " || ".join(f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((l_orderkey - 100000 + 16796160) // {36**k} % 36 AS INTEGER) + 1, 1)" for k in range(4, -1, -1))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, concat('ATOM  ', CASE WHEN l_orderkey < 100000 THEN lpad(CAST(l_orderkey AS VARCHAR), 5, ' ') ELSE {_BASE36} END, '  P   ', lpad('A', 3, ' '), ' A', lpad(CAST(l_linenumber AS VARCHAR), 4, ' '), '    ',
     lpad(printf('%.3f', l_quantity), 8, ' '), lpad(printf('%.3f', l_discount), 8, ' '), lpad(printf('%.3f', l_tax), 8, ' '), '  1.00', '  0.00', '          ', ' P', '  ') AS line FROM lineitem""")
 def format_pdb_line(spark, sf_dir):
     from helixframe.sources.pdb import atom_line

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names and atoms that decide the class of a molecule.
-RNA_NAMES = ("A", "C", "G", "U")
-DNA_NAMES = ("DA", "DC", "DG", "DT")
+RNA_NAMES = ("A", "C", "G", "U", "I")
+DNA_NAMES = ("DA", "DC", "DG", "DT", "DU", "DI")
 DEOXY_SUGAR = ("C1'", "C2'", "C3'", "C4'", "O4'")
 # Atom radii in angstrom by the first letter of the name.
 RADII = {"C": 0.6, "N": 0.54, "O": 0.53, "P": 0.94}
@@ -26,7 +26,8 @@ def full_name(chain: Column, name: Column, number: Column, icode: Column) -> Col
 
 
 def molecule_class(name: Column, atoms: Column) -> Column:
-    """RNA, DNA or Other from the residue name, else from the names of its atoms."""
+    """RNA, DNA or Other from the residue name in any case, else from the names of its atoms."""
+    name = F.upper(name)
     sugar = F.size(F.array_intersect(atoms, F.array(*map(F.lit, DEOXY_SUGAR))))
     return (
         F.when(name.isin(*RNA_NAMES), "RNA")
@@ -49,7 +50,12 @@ def in_ranges(ranges: dict[str, tuple[float, float]]) -> Column:
 
 def default_altloc(alt: Column) -> Column:
     """Unlabelled alternate locations and A."""
-    return alt.isNull() | alt.isin("", ".", "?", "A")
+    return altloc(alt)
+
+
+def altloc(alt: Column, wanted: str = "A") -> Column:
+    """Unlabelled alternate locations and the wanted one; all of them for "all"."""
+    return F.lit(True) if wanted == "all" else alt.isNull() | alt.isin("", ".", "?", wanted)
 
 
 def null_marker(value: Column) -> Column:

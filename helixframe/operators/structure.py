@@ -15,8 +15,8 @@ from helixframe.plans.components import connected_components
 RESIDUE = ["chain_id", "residue_number", "insertion_code", "residue_name"]
 #: Longest distance in angstrom of O3' and the next P in a chain: one and a half times 1.6.
 LINK = 2.4
-# Names of common ions.
-IONS = ("NA", "MG", "K", "CL", "CA", "ZN", "MN", "FE", "CO", "NI", "CU", "CD", "SR", "BA", "CS", "RB", "LI", "BR", "IOD", "F", "AL", "HG", "AG", "AU", "PT", "TL")
+# Residue names of ions.
+IONS = ("AG", "AL", "AU", "BA", "BR", "CA", "CD", "CL", "CO", "CS", "CU", "F", "FE", "HG", "I", "IOD", "K", "LI", "MG", "MN", "NA", "NI", "PB", "RB", "SR", "ZN")
 
 
 def with_residues(atoms: DataFrame, order: str = "line_number") -> DataFrame:
@@ -26,7 +26,7 @@ def with_residues(atoms: DataFrame, order: str = "line_number") -> DataFrame:
 
 def best_atoms(atoms: DataFrame, order: str = "line_number") -> DataFrame:
     """One atom per residue, model and name: the highest occupancy, the first among equals."""
-    return keep_first(atoms, ["path", "model", *RESIDUE, "atom_name"], [F.desc("occupancy"), F.asc(order)])
+    return keep_first(atoms, ["path", "model", *RESIDUE, "atom_name"], [F.desc_nulls_last("occupancy"), F.asc(order)])
 
 
 def select_model(atoms: DataFrame, model: int | None = None, order: str = "line_number") -> DataFrame:
@@ -55,21 +55,69 @@ def _points(atoms: DataFrame, order: str) -> DataFrame:
     return atoms.withColumn("id", F.col(order).cast("long")).withColumn("p", geometry.point(F.col("x"), F.col("y"), F.col("z")))
 
 
-def clashes(atoms: DataFrame, margin: float = 0.0, order: str = "line_number") -> DataFrame:
-    """(path, model, id_1, id_2, distance): atoms of different residues closer than their radii and the margin allow."""
+def clashes(atoms: DataFrame, margin: float = 0.0, order: str = "line_number", *, any_occupancy: bool = True, same_residue: bool = False, same_name: bool = False) -> DataFrame:
+    """(path, model, id_1, id_2, residue_1, residue_2, distance, occupancy): pairs of C, N, O and P atoms, by the first
+    letters of their names, that are closer than their radii and the margin allow.
+
+    Without ``any_occupancy`` only pairs whose occupancies (null or 0: 1) sum up to 1, as alternatives do. same_residue:
+    also pairs within a residue. same_name: only atoms of one name. The margin that MolProbity allows for is 0.5.
+    """
     points = with_residues(_points(atoms, order), order).withColumn("r", residues.atom_radius(F.col("atom_name"))).where("r is not null")
+    points = points.withColumn("o", F.coalesce(F.nullif("occupancy", F.lit(0.0)), F.lit(1.0)))
     pairs = radius_join(points, 2 * max(residues.RADII.values()) + margin, within=("path", "model"))
-    sides = [points.select("path", "model", F.col("id").alias(f"id_{k}"), F.col("r").alias(f"r_{k}"), F.col("residue").alias(f"residue_{k}")) for k in (1, 2)]
+    sides = [points.select("path", "model", *[F.col(c).alias(f"{n}_{k}") for c, n in (("id", "id"), ("r", "r"), ("o", "o"), ("residue", "residue"), ("atom_name", "name"))]) for k in (1, 2)]
     joined = pairs.join(sides[0], ["path", "model", "id_1"]).join(sides[1], ["path", "model", "id_2"])
-    return joined.where((F.col("residue_1") != F.col("residue_2")) & (F.col("distance") <= F.col("r_1") + F.col("r_2") + margin)).select("path", "model", "id_1", "id_2", "residue_1", "residue_2", "distance")
+    found = joined.withColumn("occupancy", F.col("o_1") + F.col("o_2")).where(F.col("distance") <= F.col("r_1") + F.col("r_2") + margin)
+    if not any_occupancy:
+        found = found.where(F.abs(F.col("occupancy") - 1) <= 1e-9 * F.greatest(F.col("occupancy"), F.lit(1.0)))
+    if not same_residue:
+        found = found.where("residue_1 <> residue_2")
+    if same_name:
+        found = found.where("name_1 = name_2")
+    return found.select("path", "model", "id_1", "id_2", "residue_1", "residue_2", "name_1", "name_2", "distance", "occupancy")
+
+
+#: Oxygens of a phosphate that a clash of O3' is named for.
+PHOSPHATE_OXYGENS = ("OP1", "OP2", "OP3", "O1P", "O2P", "O3P")
+
+
+def clash_rollup(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, occupancy): clashes per group of residues or chains, and the largest occupancy sum."""
+    return found.groupBy(*keys).agg(F.count("*").alias("n"), F.max("occupancy").alias("occupancy"))
+
+
+def clash_report(found: DataFrame, residues: DataFrame) -> DataFrame:
+    """(path, model, level, chain_1, chain_2, residue_1, residue_2, name_1, name_2, occupancy): a row per chain pair, per
+    residue pair and per atom pair of :func:`clashes`, each with its largest occupancy sum.
+
+    ``residues`` (path, model, residue, chain_id) tells the chains. Columns below a row's level are null.
+    """
+    for k in (1, 2):
+        names = residues.select("path", "model", F.col("residue").alias(f"residue_{k}"), F.col("chain_id").alias(f"chain_{k}")).distinct()
+        found = found.join(names, ["path", "model", f"residue_{k}"])
+    sets = [["path", "model", "chain_1", "chain_2"]]
+    sets.append([*sets[0], "residue_1", "residue_2"])
+    sets.append([*sets[1], "name_1", "name_2", "id_1", "id_2"])
+    level = F.when(F.grouping("residue_1") == 1, "chains").when(F.grouping("id_1") == 1, "residues").otherwise("atoms")
+    rolled = found.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in sets[-1]]).agg(F.max("occupancy").alias("occupancy"), level.alias("level"))
+    return rolled.select("path", "model", "level", "chain_1", "chain_2", "residue_1", "residue_2", "name_1", "name_2", "occupancy")
+
+
+def clash_class(first: Column, second: Column) -> Column:
+    """O3' for a clash of that atom with a phosphate oxygen, else null."""
+    return F.when((first == "O3'") & second.isin(*PHOSPHATE_OXYGENS), F.lit("O3'"))
 
 
 def drop_overlapping(atoms: DataFrame, radius: float = 0.5, order: str = "line_number") -> DataFrame:
-    """Atoms without those that lie within ``radius`` of one with higher occupancy; among equals the later one stays."""
-    points = _points(atoms, order)
+    """Atoms without repeated ones and without those that lie within ``radius`` of one with higher occupancy.
+
+    Of the atoms of a residue with one name the highest occupancy stays, the first among equals. Of two near atoms with
+    equal occupancies the later one stays; where an occupancy is null, both stay.
+    """
+    points = _points(best_atoms(atoms, order), order)
     pairs = radius_join(points, radius, within=("path", "model"))
     sides = [points.select("path", "model", F.col("id").alias(f"id_{k}"), F.col("occupancy").alias(f"o_{k}")) for k in (1, 2)]
-    joined = pairs.join(sides[0], ["path", "model", "id_1"]).join(sides[1], ["path", "model", "id_2"])
+    joined = pairs.join(sides[0], ["path", "model", "id_1"]).join(sides[1], ["path", "model", "id_2"]).where("o_1 is not null and o_2 is not null")
     loser = F.when(F.col("o_1") > F.col("o_2"), F.col("id_2")).otherwise(F.col("id_1"))
     losers = joined.select("path", "model", loser.alias("id")).distinct()
     return points.join(losers, ["path", "model", "id"], "left_anti").drop("id", "p")

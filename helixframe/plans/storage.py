@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows and bytes of one Arrow batch, so that long rows do not fill a Python worker.
-ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def shared_dir(spark: SparkSession) -> str:
