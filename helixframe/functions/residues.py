@@ -15,7 +15,7 @@ DEOXY_SUGAR = ("C1'", "C2'", "C3'", "C4'", "O4'")
 RADII = {"C": 0.6, "N": 0.54, "O": 0.53, "P": 0.94}
 # Names of water and amino-acid residues.
 WATER_NAMES = ("HOH", "WAT", "H2O", "DOD")
-AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL", "SEC", "PYL", "ASX", "GLX")
+AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL", "SEC", "PYL", "MSE", "UNK")
 
 
 def full_name(chain: Column, name: Column, number: Column, icode: Column) -> Column:
