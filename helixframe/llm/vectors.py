@@ -34,7 +34,7 @@ class Tables:
     projections: int = 8
     width: float = 2.0
     block: int = 500
-    shelf: int = 10_000
+    shelf: int = 2_000
     seed: int = 5
 
 
