@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import circular, geometry
-from helixframe.operators import groups, spatial
+from helixframe.functions import chemistry, circular, geometry
+from helixframe.operators import categories, distill, groups, secondary, spatial, structure
 from helixframe.plans.components import connected_components
+from helixframe.sources import secondary as secondary_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +34,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _as_category(table: DataFrame, name: str) -> DataFrame:
+    """A table's rows as rows of a category: values as text by column."""
+    pairs = F.create_map(*[x for c in table.columns for x in (F.lit(c), F.col(c).cast("string"))])
+    return table.select(F.lit("f").alias("path"), F.lit(name).alias("category"), F.lit(0).alias("row_idx"), pairs.alias("attrs"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("group"))
 
@@ -54,7 +61,7 @@ def pairwise_l2(spark, sf_dir):
 @query(f"""WITH {_BOTH}, k AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 6), b) AS r FROM s)
     SELECT least(a, b) AS a, greatest(a, b) AS b, round(min(d), 6) AS d FROM k WHERE r <= 5 GROUP BY 1, 2""")
 def knn_graph(spark, sf_dir):
-    return spatial.knn_edges(spatial.pair_distances(_vectors(spark, sf_dir).select("id", "v")), 5).select("a", "b", F.round("d", 6).alias("d"))
+    return spatial.nearest_edges(_vectors(spark, sf_dir).select("id", "v"), 5).select("a", "b", F.round("d", 6).alias("d"))
 
 
 @query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1:3] AS DOUBLE[]) AS v FROM embeddings)
@@ -78,25 +85,20 @@ def contacts_within_group(spark, sf_dir):
 def nearest_representative(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     reps = v.groupBy("group").agg(F.min_by("v", "id").alias("w"), F.min("id").alias("rep"))
-    # one representative per group: checked to be few before they are broadcast
-    reps = F.broadcast(reps) if reps.count() <= 10_000 else reps
-    d = v.select("id", "v").join(reps.select("rep", "w")).withColumn("d", F.round(geometry.l2(F.col("v"), F.col("w")), 6))
-    return d.groupBy("id").agg(F.min(F.struct("d", "rep")).alias("m")).select("id", "m.rep", "m.d")
+    return spatial.nearest(v.select("id", "v"), reps.select("rep", "w"))
 
 
 @query(f"""WITH {_BOTH}, t AS (SELECT ga AS g, a AS id, round(sum(d), 6) AS total FROM s WHERE ga = gb GROUP BY 1, 2)
     SELECT g, id, total FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY total, id) AS r FROM t) WHERE r = 1""")
 def medoid_per_label(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return spatial.medoids(spatial.pair_distances(v.select("id", "v")), v.select("id", "group")).withColumnRenamed("group", "g")
+    return spatial.group_medoids(_vectors(spark, sf_dir)).withColumnRenamed("group", "g")
 
 
 @query(f"""WITH {_BOTH}, m AS (SELECT a, ga, gb, avg(d) AS mean FROM s GROUP BY 1, 2, 3),
     q AS (SELECT a, ga, max(mean) FILTER (ga = gb) AS i, min(mean) FILTER (ga <> gb) AS o FROM m GROUP BY 1, 2)
     SELECT ga AS g, round(avg(CASE WHEN i IS NULL THEN 0 ELSE (o - i) / greatest(i, o) END), 6) AS silhouette FROM q GROUP BY 1""")
 def silhouette_per_label(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    s = spatial.silhouettes(spatial.pair_distances(v.select("id", "v")), v.select("id", "group"))
+    s = spatial.group_silhouettes(_vectors(spark, sf_dir))
     return s.groupBy(F.col("group").alias("g")).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
 
 
@@ -105,7 +107,7 @@ def silhouette_per_label(spark, sf_dir):
     SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def graph_components(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", "v")
-    found = connected_components(spatial.pair_distances(v).where("d <= 1.0501"))
+    found = connected_components(spatial.distance_edges(v, 1.0501))
     return v.join(found, v.id == found.node, "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -156,8 +158,8 @@ def glycosidic_and_side(spark, sf_dir):
 
 @query("SELECT label AS g, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2")
 def centroid_per_label(spark, sf_dir):
-    flat = _vectors(spark, sf_dir).select("group", F.posexplode("v").alias("i", "x"))
-    return flat.groupBy(F.col("group").alias("g"), F.col("i").cast("long").alias("i")).agg(F.round(F.avg("x"), 6).alias("mean"))
+    means = spatial.centroids(_vectors(spark, sf_dir))
+    return means.select(F.col("group").alias("g"), F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity < 10 THEN exp(-power((l_quantity - 10) / 5, 2) / 2)
@@ -244,21 +246,25 @@ def conflict_pairs(spark, sf_dir):
 @query("""SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (
     SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE')))""")
 def closure_filter(spark, sf_dir):
-    region, nation, customer, orders = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
-    nations = nation.join(region.where("r_name = 'EUROPE'"), nation.n_regionkey == region.r_regionkey, "left_semi")
-    customers = customer.join(nations, customer.c_nationkey == nations.n_nationkey, "left_semi")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey, "left_semi").select("o_orderkey")
+    tables = {t: _read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders")}
+    links = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey")]
+    return categories.closure(tables, links, {"region": tables["region"].where("r_name = 'EUROPE'")})["orders"].select("o_orderkey")
 
 
 @query("SELECT DISTINCT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_size BETWEEN 10 AND 20")
 def select_ids(spark, sf_dir):
-    return _read(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2") & F.col("p_size").between(10, 20)).select("p_partkey").distinct()
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    by_brand = categories.select_ids(_as_category(part, "part"), "part", "p_brand", ["Brand#1", "Brand#2"], "p_partkey")
+    by_size = categories.select_ids(_as_category(part, "part"), "part", "p_size", [str(n) for n in range(10, 21)], "p_partkey")
+    return by_brand.join(by_size, ["path", "id"], "left_semi").select(F.col("id").cast("long").alias("p_partkey"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2'))")
 def category_by_id(spark, sf_dir):
-    ids = _read(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2")).select(F.col("p_partkey").alias("l_partkey"))
-    return _read(spark, sf_dir, "lineitem").join(ids, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    ids = categories.select_ids(_as_category(_read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "part"), "part", "p_brand", ["Brand#1", "Brand#2"], "p_partkey")
+    lines = _as_category(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "lineitem")
+    kept = categories.keep_ids(lines, ids, (("lineitem", "l_partkey"),))
+    return kept.select(*[categories.item(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")])
 
 
 @query("""SELECT event_id, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(code AS INTEGER), 1) AS code FROM events JOIN (
@@ -284,8 +290,8 @@ def category_vote(spark, sf_dir):
 
 @query("""SELECT n_nationkey, coalesce(c, 'none') AS class FROM nation LEFT JOIN (VALUES (0, 'XIX'), (1, 'XX'), (3, 'XXVIII')) t(k, c) ON n_regionkey = k""")
 def lookup_class(spark, sf_dir):
-    table = F.create_map(*[F.lit(x) for kv in ((0, "XIX"), (1, "XX"), (3, "XXVIII")) for x in kv])
-    return _read(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(F.try_element_at(table, F.col("n_regionkey")), F.lit("none")).alias("class"))
+    table = {0: "XIX", 1: "XX", 3: "XXVIII"}
+    return _read(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(chemistry.lookup(F.col("n_regionkey"), table), F.lit("none")).alias("class"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS g, list_sort(list_distinct(list(CAST(l_linenumber + l_partkey % 4 AS BIGINT)))) AS c FROM lineitem GROUP BY 1),
@@ -299,12 +305,12 @@ def merge_codes(spark, sf_dir):
 
 @query("SELECT p_partkey, replace(upper(p_name), 'T', 'U') AS sequence FROM part")
 def fasta_normalise(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", F.replace(F.upper("p_name"), F.lit("T"), F.lit("U")).alias("sequence"))
+    return _read(spark, sf_dir, "part").select("p_partkey", secondary_text.normalised(F.col("p_name")).alias("sequence"))
 
 
 @query(r"SELECT item_id, regexp_replace(text, '[\[\]{}<>A-Za-z]', '.', 'g') AS structure FROM benchmark")
 def strip_brackets(spark, sf_dir):
-    return _read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[\[\]{}<>A-Za-z]", ".").alias("structure"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", secondary.strip_pseudoknots(F.col("text")).alias("structure"))
 
 
 @query("SELECT p_partkey, concat(substr(p_type, 1, 1), '.', p_brand, CASE WHEN regexp_matches(p_brand, '[0-9]$') THEN '/' ELSE '' END, p_size, CASE WHEN p_size % 7 = 0 THEN concat('^', substr(p_name, 1, 1)) ELSE '' END) AS full_name FROM part")
@@ -341,9 +347,10 @@ def format_pdb_line(spark, sf_dir):
 @query("""SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY first) AS number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS serial FROM (
     SELECT o_orderkey, o_custkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS first FROM orders)""")
 def renumber_to_limits(spark, sf_dir):
-    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority"))
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", first.alias("first"))
-    return orders.select("o_orderkey", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("first")).cast("long").alias("number"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("serial"))
+    orders = _read(spark, sf_dir, "orders")
+    atoms = orders.select(F.col("o_custkey").cast("string").alias("path"), F.lit(1).alias("model"), F.lit("long name").alias("chain_id"), F.lit(0).alias("residue_number"), F.lit("x").alias("insertion_code"), F.col("o_orderpriority").alias("residue_name"), F.lit(0).alias("serial"), F.col("o_orderkey").alias("line_number"))
+    fitted = structure.fit_to_pdb(atoms)
+    return fitted.select(F.col("line_number").alias("o_orderkey"), F.col("residue_number").cast("long").alias("number"), F.col("serial").cast("long").alias("serial"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -353,7 +360,8 @@ def adapter_json(spark, sf_dir):
 
 @query("SELECT user_id, event_type, max(value) AS most, count(*) AS n FROM events GROUP BY 1, 2")
 def clash_rollup(spark, sf_dir):
-    return _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("most"), F.count("*").alias("n"))
+    found = _read(spark, sf_dir, "events").withColumnRenamed("value", "occupancy")
+    return structure.clash_rollup(found, ["user_id", "event_type"]).withColumnRenamed("occupancy", "most")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.08 AS valid FROM lineitem")
@@ -372,9 +380,7 @@ def altloc_default(spark, sf_dir):
 
 @query(f"""WITH {_BOTH}, t AS (SELECT a, round(sum(1 / (1 + d)), 6) AS gain FROM s GROUP BY 1) SELECT a AS id, gain FROM t ORDER BY gain DESC, a LIMIT 1""")
 def facility_first_pick(spark, sf_dir):
-    pairs = spatial.pair_distances(_vectors(spark, sf_dir).select("id", "v"))
-    gains = spatial.both_ways(pairs).groupBy(F.col("a").alias("id")).agg(F.round(F.sum(1 / (1 + F.col("d"))), 6).alias("gain"))
-    return gains.orderBy(F.desc("gain"), "id").limit(1)
+    return distill.first_gains(_vectors(spark, sf_dir).select("id", "v")).orderBy(F.desc("gain"), "id").limit(1)
 
 
 @query("""WITH t AS (SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS gain FROM orders GROUP BY 1)
@@ -382,9 +388,7 @@ def facility_first_pick(spark, sf_dir):
     FROM t WINDOW w AS (ORDER BY gain DESC, o_orderpriority ROWS UNBOUNDED PRECEDING)""")
 def gain_curve(spark, sf_dir):
     t = _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("gain"))
-    window = Window.orderBy(F.desc("gain"), "o_orderpriority").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("cumulative", F.sum("gain").over(window))
-    return t.withColumn("remaining", F.sum("gain").over(Window.partitionBy()) - F.col("cumulative"))
+    return distill.gain_curve(t, order=[F.desc("gain"), F.asc("o_orderpriority")])
 
 
 FLAGSHIP = "run_length_groups"

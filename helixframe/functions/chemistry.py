@@ -100,7 +100,7 @@ def letter_by_overlap(names: Column) -> Column:
     """The base with the largest part of its heavy atoms among ``names``, the first of A, C, G, U, T at a tie; ? for none."""
     from helixframe.operators.annotate import BASE_ATOMS
 
-    parts = {k: F.size(F.array_intersect(names, _set(tuple(BASE_ATOMS[k].split())))) / len(BASE_ATOMS[k].split()) for k in "ACGUT"}
+    parts = {k: F.size(F.array_intersect(names, _set(BASE_ATOMS[k]))) / len(BASE_ATOMS[k]) for k in "ACGUT"}
     return F.coalesce(_best(parts, F.lit(0.0)), F.lit("?"))
 
 

@@ -13,26 +13,31 @@ from helixframe.operators.structure import RESIDUE, with_residues
 
 # Heavy atoms of the bases, donors, acceptors and the edges that each atom lies on.
 BASE_ATOMS = {
-    "A": "N1 C2 N3 C4 C5 C6 N6 N7 C8 N9",
-    "G": "N1 C2 N2 N3 C4 C5 C6 O6 N7 C8 N9",
-    "C": "N1 C2 O2 N3 C4 N4 C5 C6",
-    "U": "N1 C2 O2 N3 C4 O4 C5 C6",
-    "T": "N1 C2 O2 N3 C4 O4 C5 C6 C7",
+    "A": ("N1", "C2", "N3", "C4", "C5", "C6", "N6", "N7", "C8", "N9"),
+    "G": ("N1", "C2", "N2", "N3", "C4", "C5", "C6", "O6", "N7", "C8", "N9"),
+    "C": ("N1", "C2", "O2", "N3", "C4", "N4", "C5", "C6"),
+    "U": ("N1", "C2", "O2", "N3", "C4", "O4", "C5", "C6"),
+    "T": ("N1", "C2", "O2", "N3", "C4", "O4", "C5", "C6", "C7"),
 }
-DONORS = {"A": "C2 N6 C8 O2'", "G": "N1 N2 C8 O2'", "C": "N4 C5 C6 O2'", "U": "N3 C5 C6 O2'", "T": "N3 C6 C7"}
-ACCEPTORS = {"A": "N1 N3 N7", "G": "N3 O6 N7", "C": "O2 N3", "U": "O2 O4", "T": "O2 O4"}
+DONORS = {"A": ("C2", "N6", "C8", "O2'"), "G": ("N1", "N2", "C8", "O2'"), "C": ("N4", "C5", "C6", "O2'"), "U": ("N3", "C5", "C6", "O2'"), "T": ("N3", "C6", "C7")}
+ACCEPTORS = {"A": ("N1", "N3", "N7"), "G": ("N3", "O6", "N7"), "C": ("O2", "N3"), "U": ("O2", "O4"), "T": ("O2", "O4")}
 EDGES = {
-    "A": "N1:W C2:WS N3:S N6:WH N7:H C8:H O2':S",
-    "G": "N1:W N2:WS N3:S O6:WH N7:H C8:H O2':S",
-    "C": "O2:WS N3:W N4:WH C5:H C6:H O2':S",
-    "U": "O2:WS N3:W O4:WH C5:H C6:H O2':S",
-    "T": "O2:WS N3:W O4:WH C6:H C7:H O2':S",
+    "A": {"N1": "W", "C2": "WS", "N3": "S", "N6": "WH", "N7": "H", "C8": "H", "O2'": "S"},
+    "G": {"N1": "W", "N2": "WS", "N3": "S", "O6": "WH", "N7": "H", "C8": "H", "O2'": "S"},
+    "C": {"O2": "WS", "N3": "W", "N4": "WH", "C5": "H", "C6": "H", "O2'": "S"},
+    "U": {"O2": "WS", "N3": "W", "O4": "WH", "C5": "H", "C6": "H", "O2'": "S"},
+    "T": {"O2": "WS", "N3": "W", "O4": "WH", "C6": "H", "C7": "H"},
 }
 #: Longest hydrogen bond; normals and the bond stand at 50 to 130 degrees. Stacked centroids, normals and offsets.
 BOND, ACROSS = 4.0, (50.0, 130.0)
 STACK, PARALLEL, ABOVE = 6.0, 35.0, 45.0
 
 
+def _listed(lists: dict[str, tuple[str, ...]], key: Column) -> Column:
+    """The names that a table of tuples has for a key."""
+    return F.try_element_at(F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), key)
+
+
 def _table(pairs: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -45,7 +50,7 @@ def letter_of_name(name: Column) -> Column:
 
 def letter_of_atoms(names: Column) -> Column:
     """The base that has the largest part of its atoms among ``names``, the first of A, C, G, U, T at a tie, null if none."""
-    parts = [(F.size(F.array_intersect(names, F.array(*map(F.lit, BASE_ATOMS[k].split())))) / len(BASE_ATOMS[k].split())).alias("part") for k in "ACGUT"]
+    parts = [(F.size(F.array_intersect(names, F.array(*map(F.lit, BASE_ATOMS[k])))) / len(BASE_ATOMS[k])).alias("part") for k in "ACGUT"]
     most = F.greatest(*parts)
     out = F.lit(None).cast("string")
     for k, part in reversed(list(zip("ACGUT", parts))):
@@ -77,7 +82,7 @@ def bases(atoms: DataFrame, order: str = "line_number", standards: DataFrame | N
     grouped = grouped.withColumn("letter", letter).where("letter is not null").drop("_standard")
     first = F.filter(F.col("e"), lambda x, k: ~F.exists(F.slice("e", 1, k), lambda y: y["atom_name"] == x["atom_name"]))
     grouped = grouped.withColumn("atoms", F.map_from_entries(F.transform(first, lambda x: F.struct(x["atom_name"], x["p"])))).drop("e")
-    names = F.split(_table(BASE_ATOMS)[F.col("letter")], " ")
+    names = _listed(BASE_ATOMS, F.col("letter"))
     own = F.filter(F.transform(names, lambda n: F.try_element_at("atoms", n)), lambda p: p.isNotNull())
     grouped = grouped.withColumn("own", own).where(F.size("own") > 0)
     centroid = F.array(*[_mean("own", i) for i in range(3)])
@@ -103,17 +108,24 @@ def _acute(angle: Column) -> Column:
 
 
 def stackings(table: DataFrame) -> DataFrame:
-    """(path, model, residue_1, residue_2, topology) of rows of :func:`bases`."""
-    points = table.where("normal is not null").select("path", "model", F.col("residue").cast("long").alias("id"), F.col("centroid").alias("p"), "normal")
+    """(path, model, residue_1, residue_2, topology) of rows of :func:`bases`.
+
+    Where a file has a residue before one of a lower chain, number or insertion code, the lower one is residue_1 and the
+    topology is downward or outward, not upward or inward.
+    """
+    key = F.struct(F.coalesce("chain_id", F.lit("")).alias("chain"), "residue_number", F.coalesce("insertion_code", F.lit(" ")).alias("icode"))
+    points = table.where("normal is not null").select("path", "model", F.col("residue").cast("long").alias("id"), F.col("centroid").alias("p"), "normal", key.alias("key"))
     pairs = radius_join(points, STACK, within=("path", "model"))
-    sides = [points.select("path", "model", F.col("id").alias(f"id_{k}"), F.col("p").alias(f"p_{k}"), F.col("normal").alias(f"n_{k}")) for k in (1, 2)]
+    sides = [points.select("path", "model", F.col("id").alias(f"id_{k}"), F.col("p").alias(f"p_{k}"), F.col("normal").alias(f"n_{k}"), F.col("key").alias(f"key_{k}")) for k in (1, 2)]
     joined = pairs.join(sides[0], ["path", "model", "id_1"]).join(sides[1], ["path", "model", "id_2"])
     between = _degrees(F.col("n_1"), F.col("n_2"))
     offset = geometry.minus(F.col("p_1"), F.col("p_2"))
     near = F.least(_degrees(offset, F.col("n_1")), _degrees(offset, F.col("n_2")))
     found = joined.where((_acute(between) <= PARALLEL) & (near <= ABOVE))
-    topology = F.when(geometry.dot(F.col("n_1"), F.col("n_2")) > 0, "upward").otherwise("inward")
-    return found.select("path", "model", F.col("id_1").alias("residue_1"), F.col("id_2").alias("residue_2"), topology.alias("topology"))
+    same, inverted = geometry.dot(F.col("n_1"), F.col("n_2")) > 0, F.col("key_2") < F.col("key_1")
+    topology = F.when(inverted, F.when(same, "downward").otherwise("outward")).otherwise(F.when(same, "upward").otherwise("inward"))
+    one, two = F.when(inverted, F.col("id_2")).otherwise(F.col("id_1")), F.when(inverted, F.col("id_1")).otherwise(F.col("id_2"))
+    return found.select("path", "model", one.alias("residue_1"), two.alias("residue_2"), topology.alias("topology"))
 
 
 def base_pairs(table: DataFrame) -> DataFrame:
@@ -123,13 +135,12 @@ def base_pairs(table: DataFrame) -> DataFrame:
     residue serves once.
     """
     atoms = table.where("normal is not null").select("path", "model", "residue", "letter", "normal", "glycosidic", F.try_element_at("atoms", F.lit("C1'")).alias("c1"), F.explode("atoms").alias("atom", "p"))
-    lists = {name: _table({k: " " + v + " " for k, v in source.items()})[F.col("letter")] for name, source in (("donor", DONORS), ("acceptor", ACCEPTORS))}
-    for name, column in lists.items():
-        atoms = atoms.withColumn(name, column.contains(F.concat(F.lit(" "), F.col("atom"), F.lit(" "))))
+    for name, source in (("donor", DONORS), ("acceptor", ACCEPTORS)):
+        atoms = atoms.withColumn(name, F.array_contains(_listed(source, F.col("letter")), F.col("atom")))
     edge_key = F.concat("letter", F.lit(":"), "atom")
-    edges = _table({f"{k}:{e.split(':')[0]}": e.split(":")[1] for k, v in EDGES.items() for e in v.split()})
+    edges = _table({f"{k}:{atom}": edges for k, v in EDGES.items() for atom, edges in v.items()})
     atoms = atoms.where("donor or acceptor").withColumn("edges", F.coalesce(F.try_element_at(edges, edge_key), F.lit(""))).where("edges <> ''")
-    names = sorted({e.split(":")[0] for v in EDGES.values() for e in v.split()})
+    names = sorted({atom for v in EDGES.values() for atom in v})
     atoms = atoms.withColumn("id", F.col("residue").cast("long") * 64 + F.array_position(F.array(*map(F.lit, names)), F.col("atom")))
     pairs = radius_join(atoms.select("path", "model", "id", "p"), BOND, within=("path", "model"))
     keep = ["residue", "letter", "normal", "glycosidic", "c1", "p", "donor", "acceptor", "edges"]

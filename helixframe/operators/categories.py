@@ -60,6 +60,21 @@ def filter_by_chains(categories: DataFrame, chains: list[str], author: bool = Tr
     return atoms.unionByName(kept)
 
 
+def closure(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], kept: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables without rows that name a parent row which is not kept.
+
+    links: (child, item, parent, item) of a table that names another one, parents before their children, as a dictionary
+    of linked items gives them. kept: the tables that the filter starts from. A null item names nothing and goes.
+    """
+    out = dict(kept)
+    for child, item_, parent, key in links:
+        if parent in out:
+            ids = out[parent].select(F.col(key).alias("_key")).distinct()
+            rows = out.get(child, tables[child])
+            out[child] = rows.join(ids, F.col(item_) == F.col("_key"), "left_semi")
+    return {**tables, **out}
+
+
 def _put(name: str, value: Column) -> Column:
     others = F.map_filter("attrs", lambda k, v: k != name)
     return F.map_concat(others, F.map_from_arrays(F.array(F.lit(name)), F.array(value)))

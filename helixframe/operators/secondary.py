@@ -14,8 +14,8 @@ CLOSING = ")]}>" + "".join(map(chr, range(97, 123)))
 
 
 def strip_pseudoknots(structure: Column) -> Column:
-    """Everything but round brackets becomes a dot."""
-    return F.regexp_replace(structure, r"[^().]", ".")
+    """Brackets of all kinds but round ones become dots."""
+    return F.regexp_replace(structure, r"[\[\]{}<>A-Za-z]", ".")
 
 
 def pairs_of(structures: DataFrame, id_col: str = "id", structure_col: str = "structure") -> DataFrame:

@@ -51,9 +51,13 @@ def detect_tool(name: Column, head: Column) -> Column:
 
 
 def read_fr3d(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated rows of two unit ids and a class; near classes (n) count, a trailing a is dropped."""
+    return parse_fr3d(scan_lines(spark, path))
+
+
+def parse_fr3d(lines: DataFrame) -> DataFrame:
+    """(path, value) lines: tab-separated rows of two unit ids and a class; near classes (n) count, a trailing a is dropped."""
     parts = F.split("value", "\t")
-    rows = scan_lines(spark, path).where(F.size(parts) >= 3).select("path", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("one", "code", "two"))])
+    rows = lines.where(F.size(parts) >= 3).select("path", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("one", "code", "two"))])
     for k, unit in ((1, "one"), (2, "two")):
         fields = F.split(unit, r"\|")
         icode = F.get(fields, F.lit(7))
@@ -120,13 +124,17 @@ def _rob_contacts(lines: DataFrame) -> DataFrame:
 
 
 def read_dssr(spark: SparkSession, path: str, model: int | None = None) -> DataFrame:
-    """Pairs and the consecutive members of stacks of DSSR's JSON.
+    return parse_dssr(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), model)
+
+
+def parse_dssr(texts: DataFrame, model: int | None = None) -> DataFrame:
+    """(path, value) texts: pairs and the consecutive members of stacks of DSSR's JSON.
 
     Of a file of many models the asked one is read, by default the first; a file without the asked one gives no row.
     """
     result = "pairs array<struct<nt1:string,nt2:string,LW:string,Saenger:string>>, stacks array<struct<nts_long:string>>"
     schema = f"{result}, models array<struct<model:int,parameters:struct<{result.replace(' array', ':array')}>>>"
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("j"))
+    files = texts.select("path", F.from_json("value", schema).alias("j"))
     models = F.col("j.models") if model is None else F.filter("j.models", lambda m: m["model"] == model)
     chosen = F.get(models, F.lit(0))["parameters"]
     files = files.select("path", F.when(F.col("j.models").isNull(), F.struct("j.pairs", "j.stacks")).otherwise(F.struct(chosen["pairs"].alias("pairs"), chosen["stacks"].alias("stacks"))).alias("j"))

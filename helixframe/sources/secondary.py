@@ -12,11 +12,16 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def normalised(sequence: Column) -> Column:
+    """Upper case, with U for T."""
+    return F.translate(F.upper(sequence), "T", "U")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, sequence); sequences in upper case with U for T."""
     records = _whole(spark, path).select("path", F.posexplode(F.split("value", "(?m)^>")).alias("record", "value")).where("record > 0")
     header = F.trim(F.regexp_extract("value", "^([^\r\n]*)", 1))
-    sequence = F.translate(F.upper(F.regexp_replace(F.regexp_replace("value", "^[^\r\n]*", ""), r"\s+", "")), "T", "U")
+    sequence = normalised(F.regexp_replace(F.regexp_replace("value", "^[^\r\n]*", ""), r"\s+", ""))
     return records.select("path", "record", header.alias("header"), sequence.alias("sequence"))
 
 
