@@ -169,18 +169,30 @@ def _running(lengths: Column) -> Column:
     return F.aggregate(lengths, start, lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once, as the element of an array that a function runs over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def loss_spans(turns: Column) -> Column:
     """Start (from 0) and length, in code points of the formatted string, of each text of the assistant."""
     sized = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("mine"), (F.length(escape(t["role"])) + len(OPEN) + len(MIDDLE)).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("body")))
-    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(turns) / TOGETHER).cast("int")), lambda k: F.slice(sized, k * TOGETHER + 1, TOGETHER))
-    inner = F.transform(groups, lambda g: F.struct(g.alias("turns"), _running(F.transform(g, lambda t: t["head"] + t["body"] + len(CLOSE))).alias("sums")))
-    offsets = _running(F.transform(inner, lambda g: F.element_at(g["sums"], -1)))
+
+    def group(part: Column) -> Column:
+        return F.struct(part.alias("turns"), _running(F.transform(part, lambda t: t["head"] + t["body"] + len(CLOSE))).alias("sums"))
+
+    def groups(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / TOGETHER).cast("int")), lambda k: _bound(F.slice(all_, k * TOGETHER + 1, TOGETHER), group))
 
     def spans(g: Column, at: Column) -> Column:
         places = F.transform(g["turns"], lambda t, i: F.struct(t["mine"].alias("mine"), (at + F.get(g["sums"], i) + t["head"]).alias("start"), t["body"].alias("length")))
         return F.transform(F.filter(places, lambda p: p["mine"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
 
-    return F.flatten(F.transform(inner, lambda g, k: spans(g, F.get(offsets, k))))
+    def join(inner: Column) -> Column:
+        offsets = _running(F.transform(inner, lambda g: F.element_at(g["sums"], -1)))
+        return _bound(offsets, lambda o: F.flatten(F.transform(inner, lambda g, k: spans(g, F.get(o, k)))))
+
+    return _bound(sized, lambda all_: _bound(groups(all_), join))
 
 
 def read_back(formatted: Column) -> Column:
