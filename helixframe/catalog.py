@@ -392,3 +392,5 @@ def gain_curve(spark, sf_dir):
 
 
 FLAGSHIP = "run_length_groups"
+
+from helixframe import catalog_structures  # noqa: E402, F401  registers its queries here

@@ -182,9 +182,10 @@ def is_canonical(one: Column, two: Column, lw: Column, saenger_class: Column) ->
 def backbone_class(letter: Column, donor: Column, atoms: Column, donor_point: Column, acceptor_point: Column) -> Column:
     """Class 0 to 9 of a base's contact with a phosphate or ribose oxygen, null for none. atoms: of the donor's residue."""
     key = F.concat(letter, F.lit(" "), donor)
-    out = lookup(key, BACKBONE_CLASS)
-    for turned, (first, second, near, far) in BACKBONE_TURNED.items():
-        p, q = (F.try_element_at(atoms, F.lit(n)) for n in (first, second))
-        turn = F.degrees(geometry.torsion(p, q, donor_point, acceptor_point))
-        out = F.when((key == turned) & p.isNotNull() & q.isNotNull(), F.when((turn > -90) & (turn < 90), near).otherwise(far)).otherwise(out)
-    return out.cast("int")
+    ends = [F.try_element_at(atoms, lookup(key, {k: v[i] for k, v in BACKBONE_TURNED.items()})) for i in (0, 1)]
+    # One element of an array is a variable of the function over it, so its parts are not written out again and again.
+    points = F.array(F.struct(ends[0].alias("p"), ends[1].alias("q"), donor_point.alias("r"), acceptor_point.alias("s")))
+    turn = F.get(F.transform(points, lambda x: F.when(x["p"].isNotNull() & x["q"].isNotNull(), F.degrees(geometry.torsion(x["p"], x["q"], x["r"], x["s"])))), F.lit(0))
+    near, far = (lookup(key, {k: v[i] for k, v in BACKBONE_TURNED.items()}) for i in (2, 3))
+    turned = F.when((turn > -90) & (turn < 90), near).when(turn.isNotNull(), far)
+    return F.coalesce(lookup(key, BACKBONE_CLASS), turned).cast("int")

@@ -75,7 +75,8 @@ def orders_first_come(pairs: DataFrame) -> DataFrame:
             last = (i, j, level)
         return pdf.sort_values("i").assign(order=order)
 
-    return pairs.select("id", "i", "j").groupBy("id").applyInPandas(run, "id string, i int, j int, order int")
+    kind = dict(pairs.dtypes)["id"]
+    return pairs.select("id", "i", "j").groupBy("id").applyInPandas(run, f"id {kind}, i int, j int, order int")
 
 
 def dot_bracket_of(lengths: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -139,4 +140,4 @@ def elements_of(bpseq: DataFrame) -> DataFrame:
                     out.extend(("single", [s]) for s in chain)
         return pd.DataFrame([(name, kind, [{"first": a, "last": b} for a, b in strands]) for kind, strands in out], columns=["id", "kind", "strands"])
 
-    return bpseq.select("id", "i", "pair").groupBy("id").applyInPandas(run, "id string, kind string, strands array<struct<first:int,last:int>>")
+    return bpseq.select("id", "i", "pair").groupBy("id").applyInPandas(run, f"id {dict(bpseq.dtypes)['id']}, kind string, strands array<struct<first:int,last:int>>")
