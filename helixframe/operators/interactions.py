@@ -12,6 +12,7 @@ from helixframe.operators import annotate
 from helixframe.operators.groups import merge_codes
 from helixframe.operators.secondary import dot_bracket_of, orders_first_come
 from helixframe.operators.spatial import radius_join
+from helixframe.plans.storage import materialize
 
 # Oxygens that accept bonds of bases.
 PHOSPHATE, RIBOSE = ("OP1", "OP2", "O5'", "O3'"), ("O4'", "O2'")
@@ -28,7 +29,7 @@ def backbone_contacts(table: DataFrame) -> DataFrame:
     gives = F.coalesce(F.array_contains(annotate._listed(annotate.DONORS, F.col("letter")), F.col("atom")), F.lit(False)) & (F.col("atom") != "O2'")
     atoms = atoms.withColumn("donor", gives).withColumn("kind", F.when(F.col("atom").isin(*PHOSPHATE), "base-phosphate").when(F.col("atom").isin(*RIBOSE), "base-ribose"))
     atoms = atoms.where("donor or kind is not null")
-    names = sorted({*PHOSPHATE, *RIBOSE, *(n for v in annotate.DONORS.values() for n in v.split())})
+    names = sorted({*PHOSPHATE, *RIBOSE, *(n for v in annotate.DONORS.values() for n in v)})
     atoms = atoms.withColumn("id", F.col("residue").cast("long") * 64 + F.array_position(F.array(*map(F.lit, names)), F.col("atom")))
     pairs = radius_join(atoms.select("path", "model", "id", "p"), annotate.BOND, within=("path", "model"))
     both = pairs.select("path", "model", F.col("id_1").alias("d"), F.col("id_2").alias("a"), "distance").unionByName(pairs.select("path", "model", F.col("id_2").alias("d"), F.col("id_1").alias("a"), "distance"))
@@ -53,8 +54,11 @@ def backbone_contacts(table: DataFrame) -> DataFrame:
 
 
 def interactions(atoms: DataFrame, order: str = "line_number", standards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The bases of structures, and all their interactions: path, model, residue_1, residue_2, kind, lw, saenger, topology, code."""
-    table = annotate.bases(atoms, order, standards)
+    """The bases of structures, and all their interactions: path, model, residue_1, residue_2, kind, lw, saenger, topology, code.
+
+    The bases are written once; pairs, stackings and contacts read them.
+    """
+    table = materialize(annotate.bases(atoms, order, standards), "bases")
     letters = [table.select("path", "model", F.col("residue").cast("long").alias(f"residue_{k}"), F.col("letter").alias(f"letter_{k}")) for k in (1, 2)]
     pairs = annotate.base_pairs(table).join(letters[0], ["path", "model", "residue_1"]).join(letters[1], ["path", "model", "residue_2"])
     none = F.lit(None).cast("string")
