@@ -16,7 +16,8 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixframe.llm.bpe import byte_characters
+from helixframe.llm.words import U, span_hashes
 from helixframe.plans.storage import discard, materialize, new_path, partitions
 
 MAGIC = b"HFXTOK01"
@@ -35,8 +37,10 @@ LIMIT = 20
 BLOCK = 512
 #: About as many ids are put in one file.
 FILE_IDS = 4_000_000
-#: Words of a generation that a Python worker remembers.
-MEMO = 250_000
+#: Words of a generation that the encoder of single words remembers; words that the encoder of texts does.
+MEMO, WORDS = 20_000, 1_000_000
+#: Slots of its table (a power of two), and bytes of texts that it works on at once.
+SLOTS, CHUNK = 1 << 22, 1 << 19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of which the normaliser changes nothing and the pre-tokeniser makes one token.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
@@ -94,15 +98,163 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.translate(LOWER)).split()))
 
 
-_loaded: dict[int, WordTokens] = {}
-
-
-def word_tokens(model: str) -> WordTokens:
+def _marked(bytes_: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(bytes_)] = True
+    return out
+
+
+BLANK, LETTER, MARK = _marked([9, 10, 11, 12, 13, 32]), _marked(range(97, 123)), _marked(MARKS)
+
+
+#: The second bytes of the letters that begin with 0xC3.
+SECOND = _marked([*range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between blanks (``data`` begins and ends with one), and whether they are PLAIN; of a
+    plain word with closing marks, the word and the marks."""
+    edges = np.flatnonzero(np.diff(BLANK[data])) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    letter = LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[SECOND[data[lead + 1]]]
+    letter[lead] = letter[lead + 1] = True
+    others = np.cumsum(~letter, dtype=np.int32)
+    tails = np.maximum.accumulate(np.where(MARK[data], 0, np.arange(len(data), dtype=np.int32)))[ends - 1] + 1
+    closed = (tails < ends) & (tails > starts) & (others[tails - 1] == others[starts - 1])
+    parts = 1 + closed
+    at = np.cumsum(parts)[closed] - 1
+    starts, ends = np.repeat(starts, parts), np.repeat(ends, parts)
+    starts[at] = ends[at - 1] = tails[closed]
+    return starts, ends, others[ends - 1] == others[starts - 1]
+
+
+class TextTokens:
+    """Encodes texts by words that it has met before, with array operations: words are found by a 64-bit hash in an open
+    table, and their first eight bytes are compared. Only new words are encoded one by one. A full table starts anew."""
+
+    def __init__(self, model: str, end_id: int):
+        self.words = WordTokens(model)
+        self.kind, self.end = self.words.kind, np.array([end_id], self.words.kind)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.slots = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+        self.heads, self.at, self.n = np.zeros(WORDS, U), np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
+        self.pool, self.used, self.entries = np.zeros(4 * WORDS, self.kind), 0, 0
+        self._add(np.zeros(1, U), self.end, np.ones(1, np.int64))  # entry 0 is what ends a text
+
+    def _add(self, heads: np.ndarray, ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        new = slice(self.entries, self.entries + len(many))
+        self.heads[new], self.n[new], self.at[new] = heads, many, self.used + np.cumsum(many) - many
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used, self.entries = self.used + len(ids), new.stop
+        return np.arange(new.start, new.stop)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of the hashes, 0 where there is none."""
+        out = np.zeros(len(hashes), np.int64)
+        left, place = np.arange(len(hashes)), (hashes & U(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            key = self.keys[place]
+            hit = key == hashes[left]
+            out[left[hit]] = self.slots[place[hit]]
+            on = ~hit & (key != 0)
+            left, place = left[on], (place[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _learn(self, hashes: np.ndarray, heads: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, raw: bytes) -> None:
+        new, first = np.unique(hashes, return_index=True)
+        if self.entries + len(new) > WORDS:
+            self._clear()
+            new, first = new[: WORDS - 1], first[: WORDS - 1]
+        pieces, words, table = self.words.pieces, self.words, self.words.bytes
+
+        def ids_of(word: bytes, is_plain: bool) -> list[int]:
+            if not is_plain:
+                return np.frombuffer(words[word], self.kind).tolist()
+            return [t.id for t in pieces(word.decode() if word.isascii() else word.decode("latin-1").translate(table))]
+
+        found = [ids_of(raw[a:b], p) for a, b, p in zip(starts[first].tolist(), ends[first].tolist(), plain[first].tolist())]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        left = self._add(heads[first], np.fromiter(chain.from_iterable(found), self.kind, int(many.sum())), many)
+        place = (new & U(SLOTS - 1)).astype(np.int64)
+        while len(left):  # each free slot takes one of the words that come to it, the others go on
+            free = np.flatnonzero(self.keys[place] == 0)
+            taken, one = np.unique(place[free], return_index=True)
+            self.keys[taken], self.slots[taken] = new[free[one]], left[free[one]]
+            on = np.ones(len(left), bool)
+            on[free[one]] = False
+            left, new, place = left[on], new[on], (place[on] + 1) & (SLOTS - 1)
+
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = b" " + b" ".join(texts) + b" "
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        starts, ends, plain = word_places(data[: len(raw)])
+        hashes = span_hashes(data[: len(raw)], starts, ends)
+        hashes[hashes == 0] = U(1)
+        heads = np.lib.stride_tricks.as_strided(data, (len(raw), 8), (1, 1))[starts].copy().view("<u8").ravel()
+        size = np.minimum(ends - starts, 8)
+        heads &= np.where(size < 8, (U(1) << (8 * size).astype(U) % U(64)) - U(1), ~U(0))
+        found = self._find(hashes)
+        missing = np.flatnonzero(found == 0)
+        if len(missing):
+            before = self.entries
+            self._learn(hashes[missing], heads[missing], starts[missing], ends[missing], plain[missing], raw)
+            found = self._find(hashes) if self.entries < before else found
+            missing = np.flatnonzero(found == 0)
+            found[missing] = self._find(hashes[missing])
+        if not found.all() or (self.heads[found] != heads).any():  # the table has started anew, or two words share a hash
+            ids = [self.words.encode(t) + self.end.tobytes() for t in texts]
+            return np.frombuffer(b"".join(ids), self.kind), np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        limits = np.searchsorted(starts, 1 + np.cumsum([len(t) + 1 for t in texts]))
+        entries = np.insert(found, limits, 0)
+        many = self.n[entries]
+        out = np.cumsum(many) - many
+        flat = self.pool[np.repeat(self.at[entries] - out, many) + np.arange(int(many.sum()))]
+        last = limits + np.arange(len(texts))
+        return flat, np.diff((out + many)[last], prepend=0)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), each with the end id, and the number of ids of each."""
+        flat, counts, waiting, size = [], [], [], 0
+
+        def work() -> None:
+            nonlocal size
+            if waiting:
+                ids, n = self._chunk(waiting)
+                flat.append(ids)
+                counts.append(n)
+                waiting.clear()
+                size = 0
+
+        for raw in texts:
+            if raw and b"<|" in raw:  # may hold special tokens, which keep their case
+                work()
+                ids = np.concatenate([np.frombuffer(self.words.encode(raw), self.kind), self.end])
+                flat.append(ids)
+                counts.append(np.array([len(ids)]))
+                continue
+            waiting.append(raw.translate(LOWER) if raw else b"")
+            size += len(waiting[-1]) + 1
+            if size >= CHUNK:
+                work()
+        work()
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+
+
+_loaded: dict[int, TextTokens] = {}
+
+
+def text_tokens(model: str, end_id: int) -> TextTokens:
     """The encoder of this Python worker; it keeps what it has learnt from one task to the next."""
-    key = hash(model)
+    key = hash((model, end_id))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WordTokens(model)
+        _loaded[key] = TextTokens(model, end_id)
     return _loaded[key]
 
 
@@ -229,14 +381,15 @@ def tokenise(docs: DataFrame, model: str, end_id: int, size: int) -> DataFrame:
     names = ["doc_id", "tie", "serial", "ids", "counts"]
 
     def run(batches):
-        tokens = word_tokens(shared.value)
-        end = np.array([end_id], tokens.kind).tobytes()
+        tokens = text_tokens(shared.value, end_id)
         serial, counts = TaskContext.get().partitionId() << 40, np.zeros(size, np.int64)
         for batch in batches:
-            ids = [tokens.encode(x) + end for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            counts += np.bincount(np.frombuffer(b"".join(ids), tokens.kind), minlength=size)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(serial, serial + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            flat, many = tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())
+            counts += np.bincount(flat, minlength=size)
+            n = len(many)
+            ends = np.concatenate([[0], np.cumsum(many * tokens.kind.itemsize)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(serial, serial + n)), ids, pa.nulls(n, pa.binary())], names=names)
             serial += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.binary())), pa.array([np.stack([used, counts[used]]).tobytes()], pa.binary())], names=names)

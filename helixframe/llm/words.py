@@ -45,6 +45,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of bytes; none of them starts at 0."""
+    values, _ = _tables(False)
+    sums = np.cumsum(values[data] * _power("up", BASE, len(data)), dtype=np.uint64)
+    spans = (sums[ends - 1] - sums[starts - 1]) * _power("down", pow(BASE, -1, 1 << 64), len(data))[starts]
+    return mix(spans + (ends - starts).astype(U) * STEP)
+
+
 def _chunk(texts: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     values, blank = _tables(plain)
