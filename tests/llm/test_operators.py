@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -19,6 +20,7 @@ from helixframe.llm import bpe, chat, jaccard, licenses, mixing, pages, tokenfil
 from helixframe.llm import catalog as llm_catalog
 from helixframe.llm.words import shingle_sets, word_hashes
 from helixframe.plans.components import connected_components
+from tests.oracle import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7), (None, "one two three four five six", "en", "b", 0), (5, "word " * 30000, "en", "b", 150000)]
@@ -503,9 +505,60 @@ def test_toxicity(spark):
 
 
 def test_odd_rows_pass_everywhere(spark):
-    df = spark.createDataFrame(ODD, DOCS)
-    assert licenses.scan_licenses(df).count() == mixing.mixing_plan(df).count() == len(ODD)
-    assert hashlib.md5(b"").hexdigest()
+    """Null, empty, repeated and long rows, and clashing names, leave every operator with one row per row."""
+    df = spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit("clash") for c in ("n_words", "labels", "mix", "ids", "score", "predicted")})
+    model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        pieces = bpe.read_ranks(f.read())
+    outs = {
+        "n_words": licenses.scan_licenses(df), "mix": mixing.mixing_plan(df), "ids": bpe.encode(df, pieces, public_tokenizers.PATTERN), "predicted": toxicity.score(df, model),
+    }
+    for name, out in outs.items():
+        assert out.count() == len(ODD) and out.columns.count(name) == 1 and out.where(F.col(name).cast("string") == "clash").count() == 0
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r[0]) for r in ODD)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+def test_registered_queries(spark):
+    """The queries that SQL cannot express, over whole tables, against plain Python."""
+    table = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    run = lambda name: llm_catalog.QUERIES[name](spark, DATA)
+    docs = [(r.doc_id, r.text) for r in table("documents").collect()]
+    sets, links = brute_jaccard(docs)
+    roots = reachable(sets, links)
+    out = run("op1_ngram_jaccard")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect()} == {(i, len(sets[i]), roots[i]) for i in sets}
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        pieces = bpe.read_ranks(f.read())
+    coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: k for k, p in enumerate(pieces)}, special_tokens={})
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    want = set()
+    for i, text in docs:
+        ids = coder.encode(text or "", disallowed_special=())
+        want.add((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run("op5_byte_bpe").collect()} == want
+    got = run("op6_html_extract")
+    assert {(r.page_id, r.url, r.text, r.n_chars) for r in got.collect()} == {(r.page_id, r.url, pages.main_text(r.html), len(pages.main_text(r.html))) for r in table("pages").collect()}
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = Tokenizer.from_str(f.read())
+    want, start = set(), 0
+    for i, text in sorted(docs):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        want.add((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in run("op7_token_files").collect()} == want
+    want = set()
+    for i, text in docs:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        places = [(k, label) for k in range(len(words)) for phrase, label in licenses.BASE_PHRASES.items() if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in places]
+        want.add((i, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
+    out = run("op8_license_scan").collect()
+    assert {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out} == want
+    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
+    out = run("op10_toxicity").collect()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
