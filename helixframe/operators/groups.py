@@ -30,7 +30,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def by_first_seen(df: DataFrame, value: str, order: str, within: list[str] | None = None, name: str = "code") -> DataFrame:
-    """(within, value, code): values numbered from 1 by their first appearance."""
+    """(within, value, code): values numbered from 1 by their first appearance.
+
+    The numbering runs over one row per distinct value of a group: without ``within``, in one task.
+    """
     within = within or []
     first = df.groupBy(*within, value).agg(F.min(order).alias("_first"))
     return first.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy("_first"))).drop("_first")
@@ -50,10 +53,16 @@ def stem_runs(pairs: DataFrame, within: list[str]) -> DataFrame:
 
 
 def crossing_pairs(intervals: DataFrame, within: list[str], id_col: str = "id") -> DataFrame:
-    """(within, first, second): intervals (id, i, j) of a group that cross, i < k < j < l."""
-    one = intervals.select(*within, F.col(id_col).alias("first"), F.col("i").alias("i1"), F.col("j").alias("j1"))
-    two = intervals.select(*within, F.col(id_col).alias("second"), F.col("i").alias("i2"), F.col("j").alias("j2"))
-    return one.join(two, within).where("i1 < i2 AND i2 < j1 AND j1 < j2").select(*within, "first", "second")
+    """(within, first, second): intervals (id, i, j) of a group that cross, i < k < j < l.
+
+    Starts fall into bins as wide as intervals are on average, and an interval meets the starts in the bins that it
+    covers, so a group is joined bin by bin. All intervals together cover at most about three bins each.
+    """
+    width = F.lit(max(1, int(intervals.agg(F.avg(F.col("j") - F.col("i"))).first()[0] or 1)))
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("long")
+    one = intervals.where("i < j").select(*within, F.col(id_col).alias("first"), F.col("i").alias("i1"), F.col("j").alias("j1"), F.explode(F.sequence(bin_of("i"), bin_of("j"))).alias("_bin"))
+    two = intervals.where("i < j").select(*within, F.col(id_col).alias("second"), F.col("i").alias("i2"), F.col("j").alias("j2"), bin_of("i").alias("_bin"))
+    return one.join(two, [*within, "_bin"]).where("i1 < i2 AND i2 < j1 AND j1 < j2").select(*within, "first", "second")
 
 
 def merge_codes(codes: Column) -> Column:

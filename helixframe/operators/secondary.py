@@ -60,17 +60,18 @@ def orders_first_come(pairs: DataFrame) -> DataFrame:
     """(id, i, j, order): stems take, from the 5' end on, the lowest order in which they cross nothing placed before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed: list[list[tuple[int, int]]] = []
+        placed: list[list[list[int]]] = []  # per order, the least and largest partner of each stem; firsts rise
         order = []
         last = None
         for i, j in pdf.sort_values("i")[["i", "j"]].itertuples(index=False):
             if last is not None and (i - 1, j + 1) == last[:2]:
                 level = last[2]
+                placed[level][-1][0] = j
             else:
-                level = next((k for k, members in enumerate(placed) if not any(a < i < b < j or i < a < j < b for a, b in members)), len(placed))
-            if level == len(placed):
-                placed.append([])
-            placed[level].append((i, j))
+                level = next((k for k, stems in enumerate(placed) if not any(max(low, i + 1) <= min(high, j - 1) for low, high in stems)), len(placed))
+                if level == len(placed):
+                    placed.append([])
+                placed[level].append([j, j])
             order.append(level)
             last = (i, j, level)
         return pdf.sort_values("i").assign(order=order)
