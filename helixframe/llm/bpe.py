@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from helixframe.llm.arrow import add_columns
 
 #: Pre-tokens that a task remembers before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 UNKNOWN = ""
 
 
@@ -107,10 +107,10 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids array<int>`` of each whole text; one output row per input row.
 
-    A null or empty text has no ids. Special tokens get no treatment. An input column called ids is replaced. An empty
+    decoded: also ``decoded binary``, the bytes that these ids decode to, made in the same pass. A null or empty text has no ids. Special tokens get no treatment. Input columns of these names are replaced. An empty
     table gives an empty table. The vocabulary, of fixed size, travels with the task.
     """
     at = docs.columns.index(text_col)
@@ -123,11 +123,12 @@ def encode(docs: DataFrame, pieces: list[bytes], pattern: str, text_col: str = "
             texts = batch.column(column).to_pylist()
             ids = [x for at in range(0, len(texts), 200) for x in codec.encode_all(texts[at : at + 200])]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            return [lists, [codec.decode(x) for x in ids]] if decoded else [lists]
 
         return run
 
-    return add_columns(docs, "ids array<int>", compute, at)
+    return add_columns(docs, "ids array<int>, decoded binary" if decoded else "ids array<int>", compute, at)
 
 
 def decode(encoded: DataFrame, pieces: list[bytes], ids_col: str = "ids") -> DataFrame:

@@ -51,8 +51,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         pieces = bpe.read_ranks(f.read())
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, pieces, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, pieces)
+    decoded = bpe.encode(docs, pieces, public_tokenizers.PATTERN, decoded=True).drop("text")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
