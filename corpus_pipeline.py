@@ -43,8 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         pieces = bpe.read_ranks(f.read())
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), pieces, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, pieces)
+    decoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), pieces, public_tokenizers.PATTERN, decoded=True).drop("text")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
