@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog import _POINTS, _TORSION, _as_category, _cross_sql, _point, _read, _vectors, query
 from helixframe.functions import chemistry, geometry, residues
-from helixframe.operators import annotate, categories, distill, interactions, planes, scoring, secondary, structure, superpose
+from helixframe.operators import annotate, categories, distill, interactions, planes, scoring, secondary, stems, structure, superpose
 from helixframe.sources import annotations, tools
 from helixframe.sources.secondary import bpseq_line
 
@@ -275,6 +275,27 @@ def clash_pairs(spark, sf_dir):
     return structure.clashes(_clash_atoms(spark, sf_dir), any_occupancy=False).select("path", "id_1", "id_2")
 
 
+@query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-5.0 * (l_quantity / 5 - 3))) / (1 + exp(5.0 * (l_quantity / 5 - 7))), 6) AS density FROM lineitem")
+def end_distance_density(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(stems.end_distance_density(F.col("l_quantity") / 5), 6).alias("density"))
+
+
+_WAYS = (("cs55", 0, 2, 147.3), ("cs53", 0, 3, -32.7), ("cs35", 1, 2, 32.7), ("cs33", 1, 3, 212.7))
+
+
+def _far(a: int, b: int) -> str:
+    return "sqrt(" + " + ".join(f"power(x{3 * a + k} - x{3 * b + k}, 2)" for k in range(3)) + ") * 20"
+
+
+@query(f"""WITH x AS ({_POINTS}), d AS (SELECT id, {', '.join(f'{_far(a, b)} AS {n}' for n, a, b, _ in _WAYS)} FROM x), m AS (SELECT *, least(cs55, cs53, cs35, cs33) AS gap FROM d)
+    SELECT id, CASE {' '.join(f"WHEN {n} = gap THEN '{n}'" for n, *_ in _WAYS)} END AS type, round(gap, 6) AS gap FROM m""")
+def nearest_stem_ends(spark, sf_dir):
+    ends = lambda a, b: F.array(*[F.transform(_point(k), lambda x: x * 20) for k in (a, b)])
+    v = _vectors(spark, sf_dir)
+    table = v.select("id", F.lit(0).alias("stem"), ends(0, 1).alias("centroids")).unionByName(v.select("id", F.lit(1).alias("stem"), ends(2, 3).alias("centroids")))
+    return stems.inter_stem_parameters(table).select("id", "type", F.round("gap", 6).alias("gap"))
+
+
 # -- secondary structures -------------------------------------------------------------------------------------------
 _BRACKETS = "SELECT o_orderkey AS id, o_orderkey % 5 + 1 AS a, o_custkey % 3 AS b FROM orders"
 _TEXT = "repeat('(', CAST(a AS INT)) || repeat('[', CAST(b AS INT)) || '...' || repeat(')', CAST(a AS INT)) || repeat(']', CAST(b AS INT))"

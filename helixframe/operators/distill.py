@@ -350,3 +350,17 @@ def approximate_clusters(vectors: DataFrame, neighbours: int = 10, radius: float
         aim = best_value(x, y, float(x[len(x) // 2])) if len(x) else 0.0
         radius = float(x[np.argmin(np.abs(x - aim))]) if len(x) else 0.0
     return radius_clusters(vectors, edges, radius), radius
+
+
+def facility_clusters(d: np.ndarray, count: int | None = None) -> tuple[list[int], list[int]]:
+    """Representatives in order of choice and the nearest one of each item, by facility location on max(d) - d.
+
+    count: how many; None: as many as the knee of the remaining gains says, at least one.
+    """
+    similarity = d.max(initial=0) - d
+    np.fill_diagonal(similarity, 0)
+    picks, gains = lazy_greedy(similarity, len(d) if count is None else count)
+    if count is None:
+        left = sum(gains) - np.cumsum(gains)
+        picks = picks[: max(1, round(best_value(np.arange(1.0, len(gains) + 1), left, float((len(gains) + 1) // 2))))]
+    return picks, [picks[k] for k in np.argmin(d[:, picks], axis=1)]

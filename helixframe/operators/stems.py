@@ -188,3 +188,48 @@ def stem_pairs(axes: DataFrame) -> DataFrame:
     best = pairs.withColumn("m", F.array_min(choices))
     torsion = wrap(geometry.torsion(F.col("m.a.far"), F.col("m.a.near"), F.col("m.b.near"), F.col("m.b.far")))
     return best.withColumn("torsion", torsion).select("id", "stem_1", "stem_2", F.col("m.gap").alias("gap"), "torsion", coaxial(F.col("torsion"), F.col("m.gap")).alias("coaxial"))
+
+
+#: The four ways in which ends of two stems can lie nearest: its name, whether the ends are last ones, and the torsion in
+#: degrees of coaxial stems.
+ENDS = (("cs55", False, False, 180 - HELICAL), ("cs53", False, True, -HELICAL), ("cs35", True, False, HELICAL), ("cs33", True, True, 180 + HELICAL))
+#: Ends of coaxial stems are so far apart, in angstrom; steepness of the edges of that range.
+NEAR, STEEP = (3.0, 7.0), 5.0
+
+
+def end_distance_density(gap: Column, low: float = NEAR[0], high: float = NEAR[1], steep: float = STEEP) -> Column:
+    """Product of a rising and a falling sigmoid: near 1 between the bounds, near 0 elsewhere."""
+    rising = 1 / (1 + F.exp(F.least(-steep * (gap - low), F.lit(700.0))))
+    falling = 1 / (1 + F.exp(F.least(steep * (gap - high), F.lit(700.0))))
+    return rising * falling
+
+
+def torsion_density(torsion: Column, centre: Column) -> Column:
+    """Von Mises density of a torsion (radians) around a centre."""
+    return F.exp(KAPPA * F.cos(torsion - centre)) / F.lit(float(2 * math.pi * np.i0(KAPPA)))
+
+
+def pair_centroid(points: Column) -> Column:
+    """Mean of the points (an array) of a base pair."""
+    return F.when(F.size(points) > 0, F.array(*[F.aggregate(points, F.lit(0.0), lambda s, p, k=k: s + p[k]) / F.size(points) for k in range(3)]))
+
+
+def inter_stem_parameters(stems: DataFrame) -> DataFrame:
+    """(id, stem_1, stem_2, type, gap, torsion, torsion_density, distance_density, coaxial) of (id, stem, centroids).
+
+    centroids: points of a stem's pairs in order; stems of one pair are left out. The type names the nearest two ends,
+    the first of equals. The torsion (degrees) runs over the second and the outer centroid of each. coaxial is the product
+    of both densities as shares of their maxima.
+    """
+    long = stems.where(F.size("centroids") > 1)
+    one, two = [long.select("id", F.col("stem").alias(f"stem_{k}"), F.col("centroids").alias(f"c{k}")) for k in (1, 2)]
+    at = lambda c, k: F.element_at(c, k)
+    outer = lambda c, last: at(c, -1) if last else at(c, 1)
+    inner = lambda c, last: at(c, -2) if last else at(c, 2)
+    c1, c2 = F.col("c1"), F.col("c2")
+    ways = [F.struct(geometry.distance(outer(c1, a), outer(c2, b)).alias("gap"), F.lit(k).alias("k"), F.lit(name).alias("type"), F.lit(math.radians(mu)).alias("mu"), inner(c1, a).alias("p"), outer(c1, a).alias("q"), outer(c2, b).alias("r"), inner(c2, b).alias("s")) for k, (name, a, b, mu) in enumerate(ENDS)]
+    pairs = one.join(two, "id").where("stem_1 < stem_2").withColumn("w", F.array_min(F.array(*ways)))
+    pairs = pairs.withColumn("t", geometry.torsion(F.col("w.p"), F.col("w.q"), F.col("w.r"), F.col("w.s")))
+    near = end_distance_density(F.col("w.gap"))
+    share = F.exp(KAPPA * (F.cos(F.col("t") - F.col("w.mu")) - 1))
+    return pairs.select("id", "stem_1", "stem_2", "w.type", "w.gap", F.degrees("t").alias("torsion"), torsion_density(F.col("t"), F.col("w.mu")).alias("torsion_density"), near.alias("distance_density"), (share * near).alias("coaxial"))

@@ -123,9 +123,41 @@ def drop_overlapping(atoms: DataFrame, radius: float = 0.5, order: str = "line_n
     return points.join(losers, ["path", "model", "id"], "left_anti").drop("id", "p")
 
 
+def by_chains(atoms: DataFrame, chains: list[str] | None = None, models: list[int] | None = None) -> DataFrame:
+    """Atoms of the chains and models that are asked for; all for None."""
+    if chains is not None:
+        atoms = atoms.where(F.col("chain_id").isin(*chains))
+    return atoms if models is None else atoms.where(F.col("model").isin(*models))
+
+
+def nucleic_only(table: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Residues (path, entity, atoms) of nucleic acids: by the entity's kind where ``entities`` (path, entity, is_nucleic)
+    has any for the file, else by their atoms."""
+    from helixframe.functions.chemistry import is_nucleotide
+
+    if entities is None:
+        return table.where(is_nucleotide(F.col("atoms")))
+    known = entities.groupBy("path", "entity").agg(F.max("is_nucleic").alias("_nucleic"))
+    files = entities.select("path").distinct().withColumn("_listed", F.lit(True))
+    marked = table.join(known, ["path", "entity"], "left").join(files, "path", "left")
+    return marked.where(F.when(F.col("_listed"), F.coalesce("_nucleic", F.lit(False))).otherwise(is_nucleotide(F.col("atoms")))).drop("_nucleic", "_listed")
+
+
+def anchors_of(atoms: DataFrame, name: str = "C1'", model: int | None = None) -> DataFrame:
+    """The named atoms of one model (by default the least that has them), of chains with a plain nucleotide."""
+    found = atoms.where(F.col("atom_name") == name)
+    least = F.min("model").over(Window.partitionBy("path")) if model is None else F.lit(model)
+    found = found.withColumn("_model", least).where(F.col("model") == F.col("_model")).drop("_model")
+    plain = F.upper("residue_name").isin(*residues.RNA_NAMES, *residues.DNA_NAMES)
+    return found.withColumn("_plain", F.max(plain.cast("int")).over(Window.partitionBy("path", "chain_id"))).where("_plain = 1").drop("_plain")
+
+
 def chain_groups(atoms: DataFrame, radius: float = 15.0, order: str = "line_number") -> DataFrame:
-    """(path, chain_id, group): chains whose C1' atoms come within ``radius`` are together; the group is its least chain."""
-    anchors = _points(atoms.where(F.col("atom_name") == "C1'"), order)
+    """(path, chain_id, group): chains whose C1' atoms come within ``radius`` are together; the group is its least chain.
+
+    Looked at are the anchors of the first model and of chains with a plain nucleotide.
+    """
+    anchors = _points(anchors_of(atoms), order)
     pairs = radius_join(anchors, radius, within=("path",))
     sides = [anchors.select("path", F.col("id").alias(f"id_{k}"), F.col("chain_id").alias(f"chain_{k}")) for k in (1, 2)]
     links = pairs.join(sides[0], ["path", "id_1"]).join(sides[1], ["path", "id_2"]).where("chain_1 <> chain_2").select("path", "chain_1", "chain_2").distinct()
@@ -201,16 +233,21 @@ def nrmsd_pairs(paired: DataFrame) -> DataFrame:
 
 
 def pdb_documents(atoms: DataFrame, order: str = "line_number") -> DataFrame:
-    """(path, content): PDB texts with MODEL, TER after each chain, ENDMDL and END."""
-    from helixframe.sources.pdb import atom_line
+    """(path, content): PDB texts with MODEL, TER after each chain (with its last residue), ENDMDL and END.
+
+    Atoms that do not fit a line are not written; :func:`fit_to_pdb` makes them fit.
+    """
+    from helixframe.sources import pdb
 
     c = F.col
-    line = atom_line(record=c("record_type"), serial=c("serial"), name=c("atom_name"), alt=c("alt_loc"), residue=c("residue_name"), chain=c("chain_id"), number=c("residue_number"), icode=c("insertion_code"), x=c("x"), y=c("y"), z=c("z"), occupancy=F.coalesce(c("occupancy"), F.lit(1.0)), b=F.coalesce(c("b_factor"), F.lit(0.0)), element=c("element"), charge=c("charge"))
+    line = pdb.atom_line(record=c("record_type"), serial=c("serial"), name=c("atom_name"), alt=c("alt_loc"), residue=c("residue_name"), chain=c("chain_id"), number=c("residue_number"), icode=c("insertion_code"), x=c("x"), y=c("y"), z=c("z"), occupancy=F.coalesce(c("occupancy"), F.lit(1.0)), b=F.coalesce(c("b_factor"), F.lit(0.0)), element=c("element"), charge=c("charge"))
     window = Window.partitionBy("path").orderBy("model", order)
     last_chain = ~F.lead("chain_id").over(window).eqNullSafe(c("chain_id")) | ~F.lead("model").over(window).eqNullSafe(c("model"))
+    ended = F.concat(F.lit("TER   "), pdb.wide_number(c("serial") + 1, 5), F.lit(" " * 6), F.lpad(c("residue_name"), 3, " "), F.lit(" "), F.lpad(c("chain_id"), 1, " "), pdb.wide_number(c("residue_number"), 4), F.coalesce(c("insertion_code"), F.lit("")))
+    ter = F.rpad(F.coalesce(ended, F.lit("TER")), 80, " ")
     first_model = ~F.lag("model").over(window).eqNullSafe(c("model"))
     last_model = ~F.lead("model").over(window).eqNullSafe(c("model"))
-    pieces = F.filter(F.array(F.when(first_model, F.concat(F.lit("MODEL     "), F.lpad(c("model").cast("string"), 4, " "))), line, F.when(last_chain, F.lit("TER")), F.when(last_model, F.lit("ENDMDL"))), lambda x: x.isNotNull())
+    pieces = F.filter(F.array(F.when(first_model, F.concat(F.lit("MODEL     "), F.lpad(c("model").cast("string"), 4, " "))), line, F.when(last_chain, ter), F.when(last_model, F.lit("ENDMDL"))), lambda x: x.isNotNull())
     rows = atoms.select("path", "model", c(order).alias("o"), F.array_join(pieces, "\n").alias("text"))
     grouped = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("model", "o", "text"))).alias("rows"))
     return grouped.select("path", F.concat(F.array_join("rows.text", "\n"), F.lit("\nEND\n")).alias("content"))

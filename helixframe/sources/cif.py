@@ -155,3 +155,40 @@ def write_category(table: DataFrame, name: str, items: list[str], order: str = "
     head = "loop_\n" + "\n".join(f"_{name}.{i}" for i in items) + "\n"
     texts = table.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("lines"))
     return texts.select("path", F.concat(F.lit(head), F.array_join(F.col("lines.line"), "\n"), F.lit("\n#\n")).alias("content"))
+
+
+#: Items of atom_site and the columns of the PDB reader that they are written from; None: the same for all atoms.
+SITE_ITEMS = (
+    ("group_PDB", "record_type"), ("id", "serial"), ("type_symbol", "element"), ("label_atom_id", "atom_name"), ("label_alt_id", "alt_loc"), ("label_comp_id", "residue_name"), ("label_asym_id", "chain_id"),
+    ("label_entity_id", None), ("label_seq_id", "residue_number"), ("pdbx_PDB_ins_code", "insertion_code"), ("Cartn_x", "x"), ("Cartn_y", "y"), ("Cartn_z", "z"), ("occupancy", "occupancy"),
+    ("B_iso_or_equiv", "b_factor"), ("pdbx_formal_charge", "charge"), ("auth_seq_id", "residue_number"), ("auth_comp_id", "residue_name"), ("auth_asym_id", "chain_id"), ("auth_atom_id", "atom_name"), ("pdbx_PDB_model_num", "model"),
+)
+
+
+def site_of(atoms: DataFrame, order: str = "line_number") -> DataFrame:
+    """Atoms in the schema of the PDB reader as atom_site rows; the entity is 1, no alternate location is a point."""
+    fixed = {"x": 3, "y": 3, "z": 3, "occupancy": 2, "b_factor": 2}
+
+    def value(item: str, column: str | None) -> Column:
+        if column is None:
+            return F.lit("1").alias(item)
+        if column in fixed:
+            return F.when(F.col(column).isNotNull(), F.format_string(f"%.{fixed[column]}f", F.col(column).cast("double"))).alias(item)
+        text = F.col(column).cast("string")
+        return (F.coalesce(text, F.lit(".")) if column == "alt_loc" else text).alias(item)
+
+    return atoms.select("path", F.col(order).alias("row_idx"), *[value(i, c) for i, c in SITE_ITEMS])
+
+
+def site_documents(atoms: DataFrame, order: str = "line_number") -> DataFrame:
+    """(path, content): mmCIF texts with the atoms of PDB files."""
+    texts = write_category(site_of(atoms, order), "atom_site", [i for i, _ in SITE_ITEMS])
+    return texts.select("path", F.concat(F.lit("data_structure\n"), "content").alias("content"))
+
+
+def missing_ids(categories: DataFrame) -> DataFrame:
+    """(path, row_idx, what): atom_site rows with a chain but without a residue number or name, which no reader can place."""
+    item = lambda *names: F.coalesce(*[null_marker(F.try_element_at("attrs", F.lit(n))) for n in names])
+    rows = categories.where("category = 'atom_site'").where(item("auth_asym_id", "label_asym_id").isNotNull())
+    what = F.when(item("auth_seq_id", "label_seq_id").isNull(), "number").when(item("auth_comp_id", "label_comp_id").isNull(), "name")
+    return rows.select("path", "row_idx", what.alias("what")).where("what is not null")

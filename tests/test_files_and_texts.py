@@ -125,3 +125,37 @@ def test_stream(spark, tmp_path):
     run()
     got = [(r.path.rsplit("/", 1)[1], r.n_atoms) for r in spark.read.parquet(table).orderBy("path").collect()]
     assert got == [("a.pdb", 2), ("b.pdb", 2)]
+
+
+def test_site_documents(spark, tmp_path):
+    (tmp_path / "a.pdb").write_text(PDB)
+    atoms = pdb.read_pdb(spark, str(tmp_path / "a.pdb"))
+    (tmp_path / "b.cif").write_text(cif.site_documents(atoms).first().content)
+    back = cif.read_atoms(spark, str(tmp_path / "b.cif"))
+    columns = ["record_type", "serial", "atom_name", "alt_loc", "residue_name", "chain_id", "residue_number", "x", "y", "z", "model"]
+    assert sorted(map(tuple, back.select(*columns).collect()), key=str) == sorted(map(tuple, atoms.select(*columns).collect()), key=str)
+    rows = cif.read_categories(spark, str(tmp_path / "b.cif"))
+    assert cif.missing_ids(rows).count() == 0
+    bad = rows.withColumn("attrs", F.map_filter("attrs", lambda k, v: ~k.endswith("seq_id")))
+    assert [r.what for r in cif.missing_ids(bad).collect()] == ["number"] * 3
+
+
+def test_documents_and_anchors(spark, tmp_path):
+    from helixframe.operators import distill, structure
+
+    (tmp_path / "a.pdb").write_text(PDB)
+    atoms = pdb.read_pdb(spark, str(tmp_path / "a.pdb"))
+    ends = [x for x in structure.pdb_documents(atoms).first().content.split("\n") if x.startswith("TER")]
+    assert [x.rstrip() for x in ends] == ["TER       3      HOH A   2", "TER       2        A A   1"] and all(len(x) == 80 for x in ends)
+    chosen = structure.anchors_of(atoms.withColumn("atom_name", F.lit("C1'")))
+    assert chosen.count() == 2 and structure.anchors_of(atoms.withColumns({"atom_name": F.lit("C1'"), "residue_name": F.lit("ALA")})).count() == 0
+    assert structure.by_chains(atoms, ["A"], [2]).count() == 1 and structure.by_chains(atoms, ["B"]).count() == 0
+    table = spark.createDataFrame([("f", "1", {"P": [0.0] * 3}), ("f", "2", {"P": [0.0] * 3}), ("g", "1", {"P": [0.0] * 3})], "path string, entity string, atoms map<string,array<double>>")
+    kinds = spark.createDataFrame([("f", "1", True), ("f", "2", False)], "path string, entity string, is_nucleic boolean")
+    assert [(r.path, r.entity) for r in structure.nucleic_only(table, kinds).collect()] == [("f", "1")] and structure.nucleic_only(table).count() == 0
+    import numpy as np
+
+    x = np.array([0, 0.1, 0.2, 9, 9.1, 9.3])
+    picks, nearest = distill.facility_clusters(np.abs(x[:, None] - x[None, :]), 2)
+    assert len(picks) == 2 and len(set(nearest[:3])) == len(set(nearest[3:])) == 1 and nearest[0] != nearest[5]
+    assert len(distill.facility_clusters(np.abs(x[:, None] - x[None, :]))[0]) >= 1

@@ -56,3 +56,27 @@ def test_peel_finds_the_heaviest_level():
         sets = [c for n in range(9) for c in itertools.combinations(range(8), n) if not any(crossing(items[a], items[b]) for a, b in itertools.combinations(c, 2))]
         assert sum(items[s][2] for s in found if found[s] == 0) == max(sum(items[s][2] for s in c) for c in sets)
         assert not any(found[a] == found[b] and crossing(items[a], items[b]) for a, b in itertools.combinations(range(8), 2))
+
+
+def test_inter_stem_parameters(spark):
+    """Types, torsions and densities of pairs of stems against numpy."""
+    import numpy as np
+
+    from helixframe.operators import stems as operators
+
+    rng = np.random.default_rng(2)
+    rows = [("a", k, rng.normal(size=(4, 3)).cumsum(axis=0).tolist()) for k in range(4)] + [("a", 9, [[0.0, 0.0, 0.0]])]
+    out = operators.inter_stem_parameters(spark.createDataFrame(rows, "id string, stem int, centroids array<array<double>>")).collect()
+    assert len(out) == 6
+    for r in out:
+        a, b = (np.array(rows[k][2]) for k in (r.stem_1, r.stem_2))
+        ways = {"cs55": (a[1], a[0], b[0], b[1], 147.3), "cs53": (a[1], a[0], b[-1], b[-2], -32.7), "cs35": (a[-2], a[-1], b[0], b[1], 32.7), "cs33": (a[-2], a[-1], b[-1], b[-2], 212.7)}
+        kind = min(ways, key=lambda w: np.linalg.norm(ways[w][1] - ways[w][2]))
+        p, q, s, t, mu = ways[kind]
+        left, right = np.cross(q - p, s - q), np.cross(s - q, t - s)
+        turn = np.arctan2(np.linalg.norm(s - q) * (q - p) @ right, left @ right)
+        gap = np.linalg.norm(q - s)
+        near = 1 / (1 + np.exp(-5 * (gap - 3))) / (1 + np.exp(5 * (gap - 7)))
+        spread = np.exp(10 * np.cos(turn - np.radians(mu))) / (2 * np.pi * np.i0(10))
+        assert r.type == kind and np.allclose([r.gap, r.torsion, r.torsion_density, r.distance_density], [gap, np.degrees(turn), spread, near])
+        assert np.isclose(r.coaxial, near * np.exp(10 * (np.cos(turn - np.radians(mu)) - 1)))
