@@ -338,9 +338,8 @@ def pseudoknot_first_come(spark, sf_dir):
 
 @query(f"WITH s AS ({_BRACKETS}) SELECT id, {_TEXT} AS structure FROM s")
 def bracket_round_trip(spark, sf_dir):
-    rows = _structures(spark, sf_dir)
-    ordered = secondary.orders_first_come(secondary.pairs_of(rows))
-    return secondary.dot_bracket_of(rows.select("id", F.length("structure").alias("n")), ordered)
+    ordered = secondary.orders_in(secondary.pairs_in(F.col("structure")))
+    return _structures(spark, sf_dir).select("id", secondary.dot_bracket_in(F.length("structure"), ordered).alias("structure"))
 
 
 _HAIRPINS = "SELECT o_orderkey AS id, o_orderkey % 4 + 1 AS a, o_custkey % 3 AS p, o_custkey % 5 AS q FROM orders"
