@@ -333,7 +333,8 @@ def without_isolated_pairs(spark, sf_dir):
 
 @query(f"WITH {_BRACKET_PAIRS} SELECT id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(o AS INTEGER) AS \"order\" FROM p")
 def pseudoknot_first_come(spark, sf_dir):
-    return secondary.orders_first_come(secondary.pairs_of(_structures(spark, sf_dir)))
+    ordered = secondary.orders_in(secondary.pairs_in(F.col("structure")))
+    return _structures(spark, sf_dir).select("id", F.explode(ordered).alias("p")).select("id", "p.i", "p.j", "p.order")
 
 
 @query(f"WITH s AS ({_BRACKETS}) SELECT id, {_TEXT} AS structure FROM s")
