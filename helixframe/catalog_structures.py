@@ -353,8 +353,9 @@ _HAIRPINS = "SELECT o_orderkey AS id, o_orderkey % 4 + 1 AS a, o_custkey % 3 AS
 def hairpin_elements(spark, sf_dir):
     rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey % 4 + 1 AS a", "o_custkey % 3 AS p", "o_custkey % 5 AS q")
     text = "repeat('.', CAST(p AS INT)) || repeat('(', CAST(a AS INT)) || '...' || repeat(')', CAST(a AS INT)) || repeat('.', CAST(q AS INT))"
-    bpseq = secondary.bpseq_of(rows.selectExpr("CAST(id AS STRING) AS id", f"{text} AS structure", f"{text} AS sequence"))
-    return secondary.elements_of(bpseq).select("id", "kind", F.col("strands")[0]["first"].alias("first"), F.col("strands")[0]["last"].alias("last"))
+    found = secondary.elements_in(secondary.partners_in(F.expr(text)))
+    elements = rows.select(F.col("id").cast("string").alias("id"), F.explode(found).alias("e"))
+    return elements.select("id", "e.kind", F.col("e.strands")[0]["first"].alias("first"), F.col("e.strands")[0]["last"].alias("last"))
 
 
 # -- strands --------------------------------------------------------------------------------------------------------
