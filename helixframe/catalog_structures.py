@@ -327,8 +327,9 @@ def stems_of_brackets(spark, sf_dir):
 
 @query(f"WITH {_BRACKET_PAIRS} SELECT id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM p WHERE CASE o WHEN 0 THEN a > 1 ELSE b > 1 END")
 def without_isolated_pairs(spark, sf_dir):
-    rows = secondary.without_isolated(secondary.pairs_of(_structures(spark, sf_dir)))
-    return rows.select("id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    kept = secondary.without_isolated_in(secondary.pairs_in(F.col("structure")))
+    rows = _structures(spark, sf_dir).select("id", F.explode(kept).alias("p"))
+    return rows.select("id", F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"))
 
 
 @query(f"WITH {_BRACKET_PAIRS} SELECT id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(o AS INTEGER) AS \"order\" FROM p")
