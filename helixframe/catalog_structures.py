@@ -321,8 +321,9 @@ def bpseq_lines(spark, sf_dir):
 
 @query(f"WITH {_BRACKET_PAIRS} SELECT id, CAST(min(i) AS BIGINT) AS i, CAST(max(j) AS BIGINT) AS j, count(*) AS length FROM p GROUP BY id, o")
 def stems_of_brackets(spark, sf_dir):
-    rows = secondary.stems_of(secondary.pairs_of(_structures(spark, sf_dir)))
-    return rows.select("id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "length")
+    stems_ = secondary.stems_in(secondary.pairs_in(F.col("structure")))
+    rows = _structures(spark, sf_dir).select("id", F.explode(stems_).alias("s"))
+    return rows.select("id", F.col("s.i").cast("long").alias("i"), F.col("s.j").cast("long").alias("j"), "s.length")
 
 
 @query(f"WITH {_BRACKET_PAIRS} SELECT id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM p WHERE CASE o WHEN 0 THEN a > 1 ELSE b > 1 END")
