@@ -10,7 +10,7 @@ from helixframe import catalog
 from helixframe.operators import secondary
 from tests.oracle import DATA
 
-ROW_BY_ROW = ("bracket_round_trip", "pseudoknot_first_come", "hairpin_elements", "bracket_pairs", "without_isolated_pairs", "stems_of_brackets")
+ROW_BY_ROW = ("bracket_round_trip", "pseudoknot_first_come", "hairpin_elements", "bracket_pairs", "without_isolated_pairs", "stems_of_brackets", "bpseq_lines")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
