@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import geometry, residues
 from helixframe.operators.groups import keep_first, runs, segments
-from helixframe.operators.spatial import radius_join
+from helixframe.operators.spatial import contact_join, radius_join
 from helixframe.plans.components import connected_components
 
 RESIDUE = ["chain_id", "residue_number", "insertion_code", "residue_name"]
 #: Longest distance in angstrom of O3' and the next P in a chain: one and a half times 1.6.
 LINK = 2.4
+#: Up to so many atoms of a file are not dealt to cells.
+FEW_ATOMS = 100
 # Residue names of ions.
 IONS = ("AG", "AL", "AU", "BA", "BR", "CA", "CD", "CL", "CO", "CS", "CU", "F", "FE", "HG", "I", "IOD", "K", "LI", "MG", "MN", "NA", "NI", "PB", "RB", "SR", "ZN")
 
@@ -64,9 +66,9 @@ def clashes(atoms: DataFrame, margin: float = 0.0, order: str = "line_number", *
     """
     points = with_residues(_points(atoms, order), order).withColumn("r", residues.atom_radius(F.col("atom_name"))).where("r is not null")
     points = points.withColumn("o", F.coalesce(F.nullif("occupancy", F.lit(0.0)), F.lit(1.0)))
-    pairs = radius_join(points, 2 * max(residues.RADII.values()) + margin, within=("path", "model"))
-    sides = [points.select("path", "model", *[F.col(c).alias(f"{n}_{k}") for c, n in (("id", "id"), ("r", "r"), ("o", "o"), ("residue", "residue"), ("atom_name", "name"))]) for k in (1, 2)]
-    joined = pairs.join(sides[0], ["path", "model", "id_1"]).join(sides[1], ["path", "model", "id_2"])
+    # Structures of few atoms are compared as they are.
+    points = points.withColumn("_n", F.count("*").over(Window.partitionBy("path"))).withColumnRenamed("atom_name", "name")
+    joined = contact_join(points, 2 * max(residues.RADII.values()) + margin, within=("path", "model"), carried=("r", "o", "residue", "name"), whole=F.col("_n") <= FEW_ATOMS)
     found = joined.withColumn("occupancy", F.col("o_1") + F.col("o_2")).where(F.col("distance") <= F.col("r_1") + F.col("r_2") + margin)
     if not any_occupancy:
         found = found.where(F.abs(F.col("occupancy") - 1) <= 1e-9 * F.greatest(F.col("occupancy"), F.lit(1.0)))
