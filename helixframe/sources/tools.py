@@ -41,12 +41,15 @@ def rnaview_indices(residues: DataFrame) -> DataFrame:
 def parse_rnaview(lines: DataFrame, indices: DataFrame | None = None) -> DataFrame:
     """Interactions of (path, line_number, value); residues by RNAView's index where ``indices`` (of one structure) are given."""
     v = F.col("value")
-    window = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(v.startswith("BEGIN_base-pair"), True).when(v.startswith("END_base-pair"), False)
-    inside = lines.withColumn("_in", F.last(mark, ignorenulls=True).over(window)).where("_in")
-    group = lambda i: F.regexp_extract(v, RNAVIEW_LINE, i)
-    rows = inside.where(v.rlike(RNAVIEW_LINE)).select("path", group(1).cast("int").alias("index_1"), group(2).cast("int").alias("index_2"), _real(group(3)).alias("chain_1"), group(4).cast("int").alias("number_1"), group(5).alias("name_1"), group(6).alias("name_2"), group(7).cast("int").alias("number_2"), _real(group(8)).alias("chain_2"), group(9).alias("edges"), group(10).alias("side"), F.trim(group(11)).alias("token"), group(12).alias("stacked"))
-    letters = F.when(F.col("edges").isin("+/+", "-/-", "X/X"), "WW").otherwise(F.upper(F.regexp_replace("edges", "/", "")))
+    # One match gives all groups, the free text last; a line that does not match is left as it is.
+    fields = F.regexp_replace(v, RNAVIEW_LINE, "\u0001".join(f"${i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 11)))
+    kept = lines.select("path", "line_number", mark.alias("_mark"), F.split(F.nullif(fields, v), "\u0001", 12).alias("f"))
+    window = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    inside = kept.withColumn("_in", F.last("_mark", ignorenulls=True).over(window)).where("_in and f is not null")
+    group = lambda i: F.col("f")[{11: 11, 12: 10}.get(i, i - 1)]
+    rows = inside.select("path", group(1).cast("int").alias("index_1"), group(2).cast("int").alias("index_2"), _real(group(3)).alias("chain_1"), group(4).cast("int").alias("number_1"), group(5).alias("name_1"), group(6).alias("name_2"), group(7).cast("int").alias("number_2"), _real(group(8)).alias("chain_2"), group(9).alias("edges"), group(10).alias("side"), F.trim(group(11)).alias("token"), group(12).alias("stacked"))
+    letters = F.when(F.col("edges").isin("+/+", "-/-", "X/X"), "WW").otherwise(F.upper(F.translate("edges", "/", "")))
     roman = F.split("token", ",")[0]
     lw = F.when((F.col("token") == "n/a") | F.col("token").rlike("^[IVX]+$") | F.col("token").isin("XIV,XV", "XII,XIII"), lw_text(F.concat(F.substring("side", 1, 1), letters)))
     kind = F.when(F.col("stacked") != "", "stacking").when(lw.isNotNull(), "base-pair").otherwise(F.coalesce(lookup(F.col("token"), RNAVIEW_KINDS), F.when((F.col("token") == "n/a") | F.col("token").rlike("^[IVX,]+$"), F.lit("other"))))
