@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import clusters, spatial
 from helixframe.plans.components import connected_components
-from helixframe.plans.storage import materialize
+from helixframe.plans.storage import discard, materialize
 
 #: Four atoms of each base that features are made of, by kind.
 PURINE_FOUR, PYRIMIDINE_FOUR = ("N9", "N3", "N1", "C5"), ("N1", "O2", "N3", "C5")
@@ -303,6 +303,29 @@ def first_gains(vectors: DataFrame, round_to: int = 6) -> DataFrame:
     return spatial.distance_sums(vectors, lambda d: 1 / (1 + d)).select("id", F.round("total", round_to).alias("gain"))
 
 
+#: Vectors whose exact gains are computed against all others at once; they are sent to each task.
+FINALISTS = 2000
+
+
+def greatest_gains(vectors: DataFrame, round_to: int = 6) -> DataFrame:
+    """Rows of :func:`first_gains`, with all that have the greatest gain among them.
+
+    All pairs are summed once to bounds in single precision; exact sums follow for what the bounds leave, which is
+    everything if that is more than ``FINALISTS``.
+    """
+    bounds = materialize(spatial.closeness_bounds(vectors), "gains")
+    least = bounds.agg(F.max("low")).first()[0]
+    left = bounds.where(F.col("high") >= (least or 0.0) - 4 * 10.0**-round_to).select("id")
+    finalists = []
+    if left.limit(FINALISTS + 1).count() <= FINALISTS:
+        finalists = vectors.join(left, "id", "left_semi").select("id", "v").collect()
+    discard(bounds)
+    if not finalists:
+        return first_gains(vectors, round_to)
+    ids, x = np.array([r.id for r in finalists]), np.array([r.v for r in finalists], dtype=float)
+    return spatial.sums_to(vectors, ids, x, lambda d: 1 / (1 + d)).select("id", F.round("total", round_to).alias("gain"))
+
+
 def cluster_records(members: DataFrame) -> DataFrame:
     """(representative, members, size) of (id, group, representative), largest first, then by representative."""
     grouped = members.groupBy("representative").agg(F.sort_array(F.collect_list(F.when(F.col("id") != F.col("representative"), F.col("id")))).alias("members"), F.count("*").alias("size"))
